@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, quality
 
 
 def queries() -> dict:
-    return {"op10_best_fit_packing": packing.op10_best_fit_packing}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op1_ablations": quality.op1_ablations,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**quality.SQL}
