@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_jaccard, packing, quality
+from . import decontamination, line_dedup, ngram_jaccard, packing, pii, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op1_ablations": quality.op1_ablations,
         "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
+        "op4_pii": pii.op4_pii,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
