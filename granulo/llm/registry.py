@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_jaccard, packing, pii, quality
+from . import decontamination, line_dedup, ngram_jaccard, packing, pii, quality, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op1_ablations": quality.op1_ablations,
         "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op4_pii": pii.op4_pii,
+        "op5_warc": warc.op5_warc,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
