@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_jaccard, packing, pii, quality, token_counts, warc
+from . import decontamination, language, line_dedup, ngram_jaccard, packing, pii, quality, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op5_warc": warc.op5_warc,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+        "op8_language_id": language.op8_language_id,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
