@@ -8,9 +8,10 @@
    (prefix filter). A tile is one such token and one band of sizes: bands grow by 4/3, so partners lie in the same or the
    next band, and a class enters the tiles of its own band and, as a guest, of the next.
 4. In a tile every class is first held against the tile's centre, a linear number of pairs. Classes already connected
-   need no further pair, so what is left are pairs of a tile that lie in different components; all of them are examined.
-5. A pair is bounded from above by bit counts: bits of A's bitmap that B's lacks stand for at least as many tokens of A
-   outside B. If the bound suffices, the sorted arrays are intersected exactly.
+   need no further pair, so what is left are pairs of a tile that lie in different components.
+5. All of these are bounded from above by bit counts: bits of A's bitmap that B's lacks stand for at least as many tokens
+   of A outside B. Tiles are compared as bit matrices and give out only pairs whose bound suffices.
+6. Those pairs' sorted arrays are intersected exactly.
 
 Hash width is 48 bits for tokens and 64 for sets; within a pair a false common token has odds of about n**2 / 2**48.
 
@@ -25,7 +26,6 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +34,12 @@ from granulo.operators.components import connected_components
 from . import common
 
 WORDS = 5
-#: Links have PART * intersection >= WHOLE... the similarity 3/4, as whole numbers.
+#: The least similarity, 3/4, in whole numbers.
 NUM, DEN = 3, 4
-BITS = 1024
+#: Bits of bitmaps; with four for each token, few tokens share one, and the bound is close.
+MIN_BITS, MAX_BITS = 256, 1 << 16
+#: Classes of a tile that are compared in one task.
+TILE_ROWS = 2048
 #: Tokens that a task packs at a time.
 CHUNK_TOKENS = 1 << 20
 
@@ -54,11 +57,6 @@ def linked(common_, a, b):
     return DEN * common_ >= NUM * (a + b - common_)
 
 
-def band(n: np.ndarray) -> np.ndarray:
-    """Sizes of a ratio up to 4/3 lie in one band or in neighbouring ones."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(DEN / NUM) + 1e-9).astype(np.int32)
-
-
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit key of each set."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -192,7 +190,8 @@ def shared_tokens(chunks: DataFrame, groups: int) -> DataFrame:
 
 
 def survivors(shared: DataFrame) -> DataFrame:
-    """(cls, n, tokens, prefix): classes that can link, their shared tokens (sorted, packed) and the shared ones of their prefix."""
+    """(cls, n, held, tokens, prefix, bits): classes that can link, the number and the sorted array of their shared tokens,
+    the shared ones of their prefix, and a bitmap of the shared ones."""
 
     def run(t: pa.Table) -> pa.Table:
         key, n, tok, df = _unpack_all(t.column("payload").to_pylist())
@@ -202,26 +201,45 @@ def survivors(shared: DataFrame) -> DataFrame:
         held = np.diff(np.concatenate([start, [len(key)]]))
         size = n[start]
         more = size - least_own(size) + 1 - (size - held)  # the prefix without tokens that nobody shares
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for a, h, s, m in zip(start.tolist(), held.tolist(), size.tolist(), more.tolist(), strict=True):
             if m > 0:
                 out[0].append(int(key[a]))
                 out[1].append(s)
-                out[2].append(np.sort(tok[a : a + h]).tobytes())
-                out[3].append(tok[a : a + m].view(np.int64))
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], ["cls", "n", "tokens", "prefix"])
+                out[2].append(h)
+                out[3].append(np.sort(tok[a : a + h]).tobytes())
+                out[4].append(tok[a : a + m].view(np.int64))
+                out[5].append(bitmap(tok[a : a + h], bits_for(s)).tobytes())
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.binary())], ["cls", "n", "held", "tokens", "prefix", "bits"])
+
+    return shared.groupBy("grp").applyInArrow(run, "cls long, n long, held long, tokens binary, prefix array<long>, bits binary")
 
-    return shared.groupBy("grp").applyInArrow(run, "cls long, n long, tokens binary, prefix array<long>")
 
+def bits_for(n: int) -> int:
+    """Bits of a set's bitmap: a power of two of four for each token or more."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * max(1, n) - 1).bit_length()))
 
-def bitmap(tok: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITS, bool)
-    out[(common.mix(tok) & _U64(BITS - 1)).astype(np.int64)] = True
+
+def bitmap(tok: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, bool)
+    out[(common.mix(tok) & _U64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out).view(_U64)
 
 
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bits."""
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+def least_common(a, b):
+    """Common tokens without which sets of a and b can't link."""
+    return -(-NUM * (a + b) // (NUM + DEN))
+
+
 def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of classes that link."""
+    """Those pairs (u, v) of classes that link: the bound first, then the exact intersection of sorted arrays."""
     one = live.select("cls", "n", "tokens")
     both = pairs.join(one.withColumnsRenamed({"cls": "u", "n": "nu", "tokens": "tu"}), "u").join(one.withColumnsRenamed({"cls": "v", "n": "nv", "tokens": "tv"}), "v")
 
@@ -230,20 +248,9 @@ def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
             u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
             nu, nv = b.column(2).to_numpy(), b.column(4).to_numpy()
             keep = []
-            maps: dict[int, tuple] = {}
             for k in range(b.num_rows):
-                for i, col in ((int(u[k]), 3), (int(v[k]), 5)):
-                    if i not in maps:
-                        if len(maps) > 4096:
-                            maps.clear()
-                        tok = np.frombuffer(b.column(col)[k].as_buffer(), _U64)
-                        maps[i] = tok, bitmap(tok)
-                if int(u[k]) not in maps:
-                    tok = np.frombuffer(b.column(3)[k].as_buffer(), _U64)
-                    maps[int(u[k])] = tok, bitmap(tok)
-                (ta, ma), (tb, mb) = maps[int(u[k])], maps[int(v[k])]
-                most = min(len(ta) - int(np.bitwise_count(ma & ~mb).sum()), len(tb) - int(np.bitwise_count(mb & ~ma).sum()))
-                if linked(most, int(nu[k]), int(nv[k])) and linked(len(np.intersect1d(ta, tb, assume_unique=True)), int(nu[k]), int(nv[k])):
+                x, y = (np.frombuffer(b.column(c)[k].as_buffer(), _U64) for c in (3, 5))
+                if min(len(x), len(y)) >= least_common(int(nu[k]), int(nv[k])) and linked(len(np.intersect1d(x, y, assume_unique=True)), int(nu[k]), int(nv[k])):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
@@ -268,16 +275,82 @@ def star_pairs(rows: DataFrame, salt: int) -> DataFrame:
     return _sized(rows.join(centre, ["token", "tile"]).select(F.col("cls").alias("u"), F.col("n").alias("nu"), "c.v", "c.nv"))
 
 
-def open_pairs(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """All pairs of a tile, one of them an own class, whose components differ. Only tiles with two or more components have
-    any; their most frequent component joins the rest, and the rest itself."""
+def near(n, held, comp, own, side, maps) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's rows, in different components, whose bitmaps don't rule out a link. Rows of side 0 meet all that
+    come later, or, where there is a side 1, all of that."""
+    words = min(len(m) for m in maps)
+    m = np.stack([fold(x, words) for x in maps])
+    a_rows, b_rows = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = not len(b_rows)
+    if one:
+        b_rows = a_rows
+    out: list[tuple] = []
+    step = max(1, (1 << 21) // max(1, words * len(b_rows)))
+    for k in range(0, len(a_rows), step):
+        i = a_rows[k : k + step]
+        need = least_common(n[i][:, None], n[b_rows][None])
+        ok = (comp[i][:, None] != comp[b_rows][None]) & (own[i][:, None] | own[b_rows][None])
+        ok &= (held[i][:, None] >= need) & (held[b_rows][None] >= need)
+        if one:
+            ok &= b_rows[None] > i[:, None]
+        p, q = np.nonzero(ok)
+        if not len(p):
+            continue
+        for c in range(0, len(p), max(1, (1 << 20) // words)):
+            x, y = p[c : c + max(1, (1 << 20) // words)], q[c : c + max(1, (1 << 20) // words)]
+            mx, my = m[i[x]], m[b_rows[y]]
+            most = np.minimum(held[i[x]] - np.bitwise_count(mx & ~my).sum(axis=1, dtype=np.int64), held[b_rows[y]] - np.bitwise_count(my & ~mx).sum(axis=1, dtype=np.int64))
+            good = most >= need[x, y]
+            out.append((i[x][good], b_rows[y][good]))
+    if not out:
+        return (np.empty(0, np.int64),) * 2
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def open_pairs(rows: DataFrame, label: DataFrame, live: DataFrame) -> DataFrame:
+    """Pairs of a tile whose components differ and whose bitmaps leave a link open. Only tiles of several components have
+    any. A tile is compared in one task, as bit matrices, and gives out no other pair; one of more than TILE_ROWS classes
+    is split into blocks by hash, and each pair of blocks is compared for itself."""
     rows = rows.join(label.withColumnsRenamed({"node": "cls", "component": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = rows.groupBy("token", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    rows = common.cut(rows.join(mixed, ["token", "tile"]))
-    a = rows.select("token", "tile", F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), F.col("own").alias("ou"))
-    b = rows.select("token", "tile", F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"), F.col("own").alias("ov"))
-    met = a.join(b, ["token", "tile"]).filter(f"cu < cv and (ou or ov) and {DEN} * least(nu, nv) >= {NUM} * greatest(nu, nv)")
-    return _sized(met.select("u", "nu", "v", "nv"))
+    mixed = rows.groupBy("token", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("token", "tile", F.ceil(F.col("k") / TILE_ROWS).cast("int").alias("nb"))
+    rows = rows.join(mixed, ["token", "tile"]).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    # block pairs (i, j) with i <= j: in (b, j) the class is on side 0, in (i, b) on side 1
+    own = F.transform(F.sequence(F.col("b"), F.col("nb") - 1), lambda j: F.struct(F.col("b").alias("bi"), j.alias("bj"), F.lit(0).alias("side")))
+    other = F.when(F.col("b") > 0, F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.struct(i.alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<bi:int,bj:int,side:int>>"))
+    rows = rows.withColumn("t", F.explode(F.concat(own, other))).select("token", "tile", "t.*", "cls", "comp", "own")
+    rows = rows.join(live.select("cls", "n", "held", "bits"), "cls")
+    keys = ["token", "tile", "bi", "bj"]
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "cls").select(*keys, "side", "cls", "comp", "own", "n", "held", "bits")
+
+    def tile(t: pa.Table):
+        cls, comp, n, held = (t.column(k).to_numpy() for k in (5, 6, 8, 9))
+        own, side = t.column(7).to_numpy(), t.column(4).to_numpy()
+        maps = [np.frombuffer(x, _U64) for x in t.column(10).to_pylist()]
+        i, j = near(n, held, comp, own, side, maps)
+        return np.maximum(cls[i], cls[j]), np.minimum(cls[i], cls[j])
+
+    def run(batches):
+        left: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*left, b])
+            k = [t.column(c).to_numpy() for c in range(4)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+            edges = [0, *new.tolist()]
+            got = [tile(t.slice(x, y - x)) for x, y in zip(edges, edges[1:], strict=False)]
+            left = t.slice(edges[-1]).to_batches()
+            yield from links(got)
+        if left:
+            yield from links([tile(pa.Table.from_batches(left))])
+
+    def links(got):
+        u, v = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in (0, 1))
+        if len(u):
+            pair = np.unique(np.stack([u, v]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def _free(spark) -> None:
@@ -289,7 +362,7 @@ def _free(spark) -> None:
 def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between classes (u, v), enough of them to connect whatever links connect; and component labels (node, component)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = common.cut(shared_tokens(token_chunks(docs, buckets), buckets))
     _free(spark)
     live = common.cut(survivors(shared))
@@ -305,7 +378,7 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = got if found is None else found.unionByName(got)
         _free(spark)
     label = connected_components(found)
-    rest = common.cut(verify(open_pairs(rows, label), live))
+    rest = common.cut(verify(open_pairs(rows, label, live), live))
     found = found.unionByName(rest)
     return found, connected_components(found)
 
