@@ -1,7 +1,8 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A text is the bag of byte n-grams of its lower-cased words, word ends marked by what parts words. Each hashed n-gram has a
-vector; their average goes through a linear softmax. Vectors and softmax learn together by Adam, so a misspelling that was
+A text is the bag of byte n-grams of its distinct lower-cased words, word ends marked by what parts words; a word that
+fills a text by repetition counts once. Each hashed n-gram has a
+vector; their average goes through a linear softmax. Vectors and softmax learn together, so a misspelling that was
 never seen still lies near its correct form, whose n-grams it shares. Training takes at most MAX_EACH labelled texts of
 either label, those with the least hash of doc_id; a part held back sets the bias at which a score of 0.5 parts the labels
 best. Executors turn texts into n-gram counts; the driver sees counts alone.
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 
 from . import common, grams
 
-SIZES, BITS, DIMS = (3, 4, 5, 6), 16, 8
+SIZES, BITS, DIMS = (3, 4, 5, 6), 18, 8
 MAX_EACH = 2500
-EPOCHS, RATE, BATCH = 14, 0.02, 64
+EPOCHS, VECTOR_RATE, RATE, BATCH = 6, 2.0, 0.02, 32
 #: Averages are multiplied by it before the softmax, as a toxic word is a small part of a text.
 GAIN = 100.0
+#: N-grams of no meaning that every bag holds besides its own, so that a few odd ones don't decide on a short text.
+PRIOR = 300
+MAX_WORD = 1 << 16
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BREAK = np.zeros(256, bool)
@@ -35,87 +39,147 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_words(col: pa.Array) -> tuple[np.ndarray, ...]:
+    """Folded bytes, row offsets, breaks, and start, end, row and weight of each row's distinct words at their first place.
+    A word that occurs k times weighs log2(1 + k)."""
     buf, offs = common.text_bytes(col)
+    s, e, _ = common.spans(buf, offs)
+    long = e - s > MAX_WORD
+    if long.any():  # endless words in pieces, so that memory stays bounded
+        n = -(-(e - s) // MAX_WORD)
+        of = np.repeat(np.arange(len(s)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s, e = s[of] + k * MAX_WORD, np.minimum(s[of] + (k + 1) * MAX_WORD, e[of])
+    row = np.searchsorted(offs, s, side="right") - 1
+    h = common.span_hashes(buf, s, e)
+    order = np.lexsort((s, h, row))
+    first = np.ones(len(s), bool)
+    first[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
+    at = np.flatnonzero(first)
+    times = np.empty(len(s))
+    times[order[first]] = np.log2(1 + np.diff(np.append(at, len(s))))
+    keep = np.sort(order[first])
     br = _BREAK[buf]
-    sym = _FOLD[buf]
-    sym = np.where(br, np.uint8(32), sym)
-    return sym, offs, br
-
-
-def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of at most `most` labelled texts of each label."""
+    return np.where(br, np.uint8(32), _FOLD[buf]), offs, br, s[keep], e[keep], row[keep], times[keep]
+
+
+def slices(s: np.ndarray, e: np.ndarray):
+    """Groups of words that lie close enough together: i, j, and the symbols a to b with a mark in front of each word."""
+    i = 0
+    while i < len(s):
+        j = max(int(np.searchsorted(e, s[i] + grams.SLICE, side="right")), i + 1)
+        yield i, j, max(0, int(s[i]) - 1), int(e[j - 1])
+        i = j
+
+
+def sums(col: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the sum of table over the n-grams of its distinct words, and their number."""
+    sym, offs, br, s, e, row, weight = distinct_words(col)
+    total, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
+    for i, j, a, b in slices(s, e):
+        v, k = np.zeros(b - a + 1), np.zeros(b - a + 1, np.int64)
+        for n in SIZES:
+            at = grams.buckets(sym, offs, a, b, n, BITS, br)
+            v[1:] += table[at]
+            k[1:] += at < 1 << BITS
+        v, k = np.cumsum(v), np.cumsum(k)
+        lo, hi = np.maximum(s[i:j] - 1, offs[row[i:j]]) - a, e[i:j] - a
+        total += np.bincount(row[i:j], (v[hi] - v[lo]) * weight[i:j], len(total))
+        count += np.bincount(row[i:j], (k[hi] - k[lo]) * weight[i:j], len(total))
+    return total, count
+
+
+def bag(one: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the n-grams of the distinct words of a single text, and their weights."""
+    sym, offs, br, s, e, _, weight = distinct_words(one)
+    total = np.zeros((1 << BITS) + 1)
+    for i, j, a, b in slices(s, e):
+        step = np.zeros(b - a + 1)
+        np.add.at(step, np.maximum(s[i:j] - 1, 0) - a, weight[i:j])
+        np.add.at(step, e[i:j] - a, -weight[i:j])
+        w = np.cumsum(step)[:-1]
+        for n in SIZES:
+            total += np.bincount(grams.buckets(sym, offs, a, b, n, BITS, br), w, len(total))
+    k = np.flatnonzero(total[:-1] > 1e-6)
+    return k, total[k]
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float]:
+    """(label, buckets, counts) of at most `most` labelled texts of each label; and how many rows of label 0 there are for
+    each of label 1, against the sample."""
     lab = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).distinct()
+    known = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ids = [(r[0], r[1]) for y in (1, 0) for r in lab.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    if not ids:
-        return []
+    if len(known) < 2:
+        return [(y, np.zeros(1, np.int64), np.ones(1)) for y in known], 1.0
     few = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")), "doc_id")
 
     def run(batches):
         for b in batches:
-            sym, offs, br = symbols(b.column(1))
-            got = [grams.counts(sym[i:j], SIZES, BITS, br[i:j]) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.astype(np.uint16).tobytes() for k, _ in got], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in got], pa.binary())], ["doc_id", "toxic", "k", "n"])
+            got = [bag(b.column(1).slice(r, 1)) for r in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.astype(np.uint32).tobytes() for k, _ in got], pa.binary()), pa.array([n.astype(np.float16).tobytes() for _, n in got], pa.binary())], ["doc_id", "toxic", "k", "n"])
 
     t = few.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, k binary, n binary").toArrow().sort_by("doc_id")
-    return [(y, np.frombuffer(k, np.uint16), np.frombuffer(n, np.uint16)) for y, k, n in zip(t.column("toxic").to_pylist(), t.column("k").to_pylist(), t.column("n").to_pylist(), strict=True)]
+    rows = [(y, np.frombuffer(k, np.uint32), np.frombuffer(n, np.float16)) for y, k, n in zip(t.column("toxic").to_pylist(), t.column("k").to_pylist(), t.column("n").to_pylist(), strict=True)]
+    return rows, (known[0] / min(known[0], most)) / (known[1] / min(known[1], most))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors, softmax weights and bias; weight: how much a row of label 1 counts."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, softmax weights and bias. Vectors move by plain gradient steps, so that what occurs in one text alone
+    stays small; softmax and bias by Adam."""
     rng = np.random.default_rng(0)
     e = rng.normal(0, 0.01, (1 << BITS, DIMS)).astype(np.float32)
     w = rng.normal(0, 0.3, (DIMS, 2)).astype(np.float32)
     c = np.zeros(2, np.float32)
-    me, ve, mw, vw, mc, vc = (np.zeros_like(x) for x in (e, e, w, w, c, c))
+    mw, vw, mc, vc = (np.zeros_like(x) for x in (w, w, c, c))
     step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        rate = RATE * (1 - epoch / EPOCHS)
+        order, left = rng.permutation(len(rows)), 1 - epoch / EPOCHS
         for at in range(0, len(rows), BATCH):
             mine = [rows[i] for i in order[at : at + BATCH].tolist()]
             y = np.array([r[0] for r in mine])
             size = np.array([len(r[1]) for r in mine])
             k = np.concatenate([r[1] for r in mine]).astype(np.int64)
-            x = np.concatenate([r[2] / max(1, r[2].sum(dtype=np.int64)) for r in mine]).astype(np.float32) * np.float32(GAIN)
-            of = np.repeat(np.arange(len(mine)), size)
-            m = np.stack([np.bincount(of, x * e[k, d], len(mine)) for d in range(DIMS)], axis=1).astype(np.float32)
+            x = np.concatenate([r[2].astype(np.float32) * np.float32(GAIN / (PRIOR + r[2].sum(dtype=np.float32))) for r in mine])
+            m = np.add.reduceat(e[k] * x[:, None], np.cumsum(size) - size, axis=0)
             z = m @ w + c
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            p *= (np.where(y == 1, weight, 1.0) / len(y))[:, None].astype(np.float32)
-            gm = p @ w.T
-            used, back = np.unique(k, return_inverse=True)
-            ge = np.stack([np.bincount(back, x * gm[of, d], len(used)) for d in range(DIMS)], axis=1).astype(np.float32)
+            p /= len(y)
+            g = np.repeat(p @ w.T, size, axis=0) * x[:, None]
+            by = np.argsort(k, kind="stable")
+            first = np.flatnonzero(np.diff(k[by], prepend=-1))
+            e[k[by][first]] -= VECTOR_RATE * left * np.add.reduceat(g[by], first, axis=0)
             step += 1
-            for v, a, b, g, at_ in ((e, me, ve, ge, used), (w, mw, vw, m.T @ p, slice(None)), (c, mc, vc, p.sum(axis=0), slice(None))):
-                a[at_] = 0.9 * a[at_] + 0.1 * g
-                b[at_] = 0.999 * b[at_] + 0.001 * g * g
-                v[at_] -= rate * (a[at_] / (1 - 0.9**step)) / (np.sqrt(b[at_] / (1 - 0.999**step)) + 1e-8)
+            for v, a, b, d in ((w, mw, vw, m.T @ p), (c, mc, vc, p.sum(axis=0))):
+                a += 0.1 * (d - a)
+                b += 0.001 * (d * d - b)
+                v -= RATE * left * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return e, w, c
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The difference of logits by bucket, and its bias; docs: doc_id, text; labels: doc_id, toxic."""
-    rows = [r for r in sample(docs, labels) if len(r[1])]
-    table = np.zeros(((1 << BITS) + 1, 1))
+    rows, common_zero = sample(docs, labels)
+    table = np.zeros((1 << BITS) + 1)
     ones = sum(y for y, _, _ in rows)
     if ones in (0, len(rows)):
         return table, 30.0 if ones else -30.0
+    rows = [r for r in rows if len(r[1])]
     order = np.random.default_rng(1).permutation(len(rows)).tolist()
     held = [rows[i] for i in order[: len(rows) // 6]]
-    e, w, c = fit([rows[i] for i in order[len(rows) // 6 :]], 1.0)
-    table[:-1, 0] = GAIN * (e @ (w[:, 1] - w[:, 0]))
+    e, w, c = fit([rows[i] for i in order[len(rows) // 6 :]])
+    table[:-1] = GAIN * (e @ (w[:, 1] - w[:, 0]))
     bias = float(c[1] - c[0])
-    z = np.array([(table[k, 0] * n).sum() / max(1, n.sum(dtype=np.int64)) for _, k, n in held]) + bias
+    z = np.array([(table[k] * n).sum() / (PRIOR + n.sum(dtype=np.float32)) for _, k, n in held]) + bias
     y = np.array([r[0] for r in held])
     if 0 < y.sum() < len(y):
         cuts = np.sort(z)
         cuts = np.concatenate([[0.0], (cuts[1:] + cuts[:-1]) / 2])
-        wrong = [((z >= t) != y).sum() for t in cuts]
-        best = cuts[np.flatnonzero(np.array(wrong) == min(wrong))]
-        bias -= float(best[np.abs(best).argmin()])
+        wrong = np.array([((z < t) & (y == 1)).sum() + common_zero * ((z >= t) & (y == 0)).sum() for t in cuts])
+        best = cuts[wrong <= wrong.min() + 1e-9]
+        bias -= float(np.median(best))
     return table, min(bias, -1e-6)  # an empty bag is not toxic
 
 
@@ -126,9 +190,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def run(batches):
         for b in batches:
             table, bias = shared.value
-            sym, offs, br = symbols(b.column(1))
-            total, count = grams.sums(sym, offs, SIZES, table, BITS, br)
-            s = 1 / (1 + np.exp(-np.clip(total[:, 0] / np.maximum(count, 1) + bias, -50, 50)))
+            total, count = sums(b.column(1), table)
+            s = 1 / (1 + np.exp(-np.clip(total / (PRIOR + count) + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
