@@ -268,9 +268,9 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.filter(f"u <> v and {DEN} * least(nu, nv) >= {NUM} * greatest(nu, nv)").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def star_pairs(rows: DataFrame, salt: int) -> DataFrame:
+def star_pairs(rows: DataFrame) -> DataFrame:
     """Each class of a tile with the tile's centre, an own class picked by hash."""
-    pick = F.struct(F.xxhash64("cls", F.lit(salt)).alias("h"), F.col("cls").alias("v"), F.col("n").alias("nv"))
+    pick = F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("v"), F.col("n").alias("nv"))
     centre = rows.groupBy("token", "tile").agg(F.min(F.when(F.col("own"), pick)).alias("c"), F.count("*").alias("k")).filter("k > 1 and c is not null")
     return _sized(rows.join(centre, ["token", "tile"]).select(F.col("cls").alias("u"), F.col("n").alias("nu"), "c.v", "c.nv"))
 
@@ -367,19 +367,14 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     _free(spark)
     live = common.cut(survivors(shared))
     rows = common.cut(tiles(live))
-    found = None
-    for salt in (1, 2):
-        pairs = star_pairs(rows, salt)
-        if found is not None:
-            label = connected_components(found)
-            inner = label.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-            pairs = pairs.join(inner, "u", "left").join(inner.withColumnsRenamed({"u": "v", "cu": "cv"}), "v", "left").filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-        got = common.cut(verify(pairs, live))
-        found = got if found is None else found.unionByName(got)
+    found = common.cut(verify(star_pairs(rows), live))
+    _free(spark)
+    # pairs that link mostly share many tiles: what an eighth of the tiles connects, the others needn't compare again
+    eighth = F.pmod(F.xxhash64("token"), F.lit(8)) == 0
+    for some in (rows.filter(eighth), rows.filter(~eighth)):
+        got = common.cut(verify(open_pairs(some, connected_components(found), live), live))
+        found = found.unionByName(got)
         _free(spark)
-    label = connected_components(found)
-    rest = common.cut(verify(open_pairs(rows, label, live), live))
-    found = found.unionByName(rest)
     return found, connected_components(found)
 
 
