@@ -23,15 +23,15 @@ def agglomerates(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each agglomerate, but for its number. Members: of membership(), with idj.
 
     Radii of gyration come from distances to the centre of mass, which needs a first aggregation; the window shares its
-    partitioning with the second."""
+    partitioning with the second. Centres and radii of agglomerates without area are null."""
     w = Window.partitionBy("ds_id", "agl")
-    com = lambda c: F.sum(F.col("area") * F.col(c)).over(w) / F.sum("area").over(w)
+    com = lambda c: G.ratio(F.sum(F.col("area") * F.col(c)).over(w), F.sum("area").over(w))
     m = members.withColumn("X_com", com("X")).withColumn("Y_com", com("Y"))
     off = F.pow(F.col("X") - F.col("X_com"), F.lit(2.0)) + F.pow(F.col("Y") - F.col("Y_com"), F.lit(2.0))
     hidden = F.sum(F.when(F.col("idj"), F.col("volume")).otherwise(0.0))
     a = m.groupBy("ds_id", "agl").agg(
         F.sum("volume").alias("volume"), hidden.alias("hidden"), F.first("X_com").alias("X_com"), F.first("Y_com").alias("Y_com"),
-        F.sqrt(F.sum(F.col("area") * off) / F.sum("area")).alias("Rg"), F.count("*").alias("members_count"), F.count_if("idj").alias("idj_members_count"),
+        F.sqrt(G.ratio(F.sum(F.col("area") * off), F.sum("area"))).alias("Rg"), F.count("*").alias("members_count"), F.count_if("idj").alias("idj_members_count"),
         F.avg("D").alias("members_Dmean"), F.stddev_samp("D").alias("members_Dstdev"), F.max(F.when(F.col("k") == 1, F.col("D"))).alias("D1"), F.max(F.when(F.col("k") == 2, F.col("D"))).alias("D2"),
         F.max(F.when(F.col("k") == 1, F.col("ID"))).alias("seed"),
     )

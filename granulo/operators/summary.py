@@ -12,7 +12,7 @@ COUNTS = ["N_primary_particle", "N_aerosol_particle", "N_pp1", "N_ppA", "N_agl",
 
 def _particles(prefix: str = "particle") -> list:
     q = lambda p: F.percentile("D", F.lit(p))
-    return [F.count("*").alias("N_primary_particle"), F.avg("D").alias(f"{prefix}_Dmean"), F.stddev_samp("D").alias(f"{prefix}_Dstd"), q(0.1).alias(f"{prefix}_D10"), q(0.5).alias(f"{prefix}_D50"), q(0.9).alias(f"{prefix}_D90"), (F.sum(F.pow("D", F.lit(3.0))) / F.sum(F.pow("D", F.lit(2.0)))).alias(f"{prefix}_SMD")]
+    return [F.count("*").alias("N_primary_particle"), F.avg("D").alias(f"{prefix}_Dmean"), F.stddev_samp("D").alias(f"{prefix}_Dstd"), q(0.1).alias(f"{prefix}_D10"), q(0.5).alias(f"{prefix}_D50"), q(0.9).alias(f"{prefix}_D90"), G.ratio(F.sum(F.pow("D", F.lit(3.0))), F.sum(F.pow("D", F.lit(2.0)))).alias(f"{prefix}_SMD")]
 
 
 def _aggl() -> list:

@@ -1,0 +1 @@
+"""Particle files arrive in whole images and are analysed in batches; there is nothing to stream."""
