@@ -68,6 +68,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     """Writes a package for each task; (package, records) tells what."""
     common.prepare(pages.sparkSession)
     files.make(folder)
+    pages = pages.select("page_id", "url", "html")
     to = originals(pages, min_bytes)
     rows = pages.join(to, pages["page_id"] == to["id__"], "left").select("page_id", "url", "html", "refers_to")
 
