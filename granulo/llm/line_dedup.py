@@ -157,3 +157,27 @@ def clean(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_deleted__").alias("n_deleted"), "text")
+
+
+#: Every run of enough words, its first place, and the lines of its later copies: the definition itself.
+SQL = {"op6_line_dedup": rf"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents
+), lines AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), d AS (
+  SELECT doc_id, list(line ORDER BY k) AS ls, list(n ORDER BY k) AS ns FROM lines GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, a, b, ls[a:b] AS run FROM (SELECT doc_id, ls, ns, a, unnest(range(a, len(ls) + 1)) AS b FROM (SELECT doc_id, ls, ns, unnest(range(1, len(ls) + 1)) AS a FROM d)) WHERE list_sum(ns[a:b]) >= {MIN_RUN_WORDS}
+), later AS (
+  SELECT doc_id, a, b FROM (SELECT doc_id, a, b, min((doc_id, a)) OVER (PARTITION BY run) AS first FROM runs) WHERE (doc_id, a) > first
+), dead AS (
+  SELECT DISTINCT lines.doc_id, i FROM lines JOIN later ON lines.doc_id = later.doc_id AND lines.k BETWEEN later.a AND later.b
+), kept AS (
+  SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.i) AS text FROM raw LEFT JOIN dead ON raw.doc_id = dead.doc_id AND raw.i = dead.i WHERE dead.i IS NULL GROUP BY raw.doc_id
+)
+SELECT t.doc_id, (SELECT count(*) FROM lines l WHERE l.doc_id = t.doc_id) AS n_lines, (SELECT count(*) FROM dead x WHERE x.doc_id = t.doc_id) AS n_deleted,
+  CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""}

@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {**quality.SQL}
+    return {**quality.SQL, **ngram_jaccard.SQL, **warc.SQL, **line_dedup.SQL}

@@ -198,3 +198,13 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     folder = common.fresh_dir(spark, "packages")
     write_packages(common.table(spark, sf_dir, "pages"), folder)
     return read_packages(spark, folder)
+
+
+#: Each five digits of the hexadecimal hash are four of the base32 form.
+SQL = {"op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (k // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM p
+), t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t
+"""}
