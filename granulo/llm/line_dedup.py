@@ -4,15 +4,17 @@ A run is a sequence of consecutive lines (lines without words don't count and do
 same sequence starts at another place, in any document. The earliest copy (least doc_id, then line) of each repeated run
 with at least MIN_RUN_WORDS words stays; its later copies are deleted.
 
-Lines become identifiers, and prefix doubling names the sequences of 1, 2, 4, ... lines from each place; two such names
-name any sequence. Names are content hashes, so equal sequences get equal names everywhere and no task needs another's
-ranks. From the suffix at each line only the depth at which it first holds MIN_RUN_WORDS words matters: suffixes that
-agree to that depth form an interval of longest common prefixes, found by grouping equal names, and every place of the
-interval but its first begins a later copy. The same is done for the sequences that end at each line. The union of these
-shortest qualifying sequences is exactly the union of all maximal repeated runs of enough words: let line x lie in such a
-run [i, j]. If the words from x to j, or from i to x, suffice, a shortest sequence at x lies inside the run. Else take
-the last s from which the words to j suffice; the shortest sequence from s ends inside the run, and not before x, as the
-words from i to x don't suffice.
+Lines become identifiers. Only lines that occur twice can be part of a repeated run, so what is sorted are the suffixes of
+stretches of such lines. Distributed prefix doubling ranks them: ranks by the first 2L lines come from pairs of ranks by L
+lines, as a suffix's place is the start of its group plus the number of members whose second half ranks lower. Ranks are
+places in the suffix array sorted by so many lines. Doubling stops at the depth that matters: a line holds a word, so
+MIN_RUN_WORDS lines always suffice, and beyond the depth at which a suffix first holds enough words its order is idle.
+Suffixes that agree to that depth are an interval of longest common prefixes; its name is the depth and two overlapping
+ranks. Every place of an interval but the first begins a later copy. The same is done for the sequences that end at each
+line. The union of these shortest qualifying sequences is exactly the union of all maximal repeated runs of enough words:
+let line x lie in such a run [i, j]. If the words from x to j, or from i to x, suffice, a shortest sequence at x lies
+inside the run. Else take the last s from which the words to j suffice; the shortest sequence from s ends inside the run,
+and not before x, as the words from i to x don't suffice.
 
 Defined results: a null or empty text, and one without repeated runs, stays as it is; equal documents lose all lines but
 in the first; what stays keeps its line breaks; other columns stay. A repeated doc_id is no key: documents must have
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,28 +51,6 @@ def sequences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return common.span_hashes(buf, s, e, fold=False), n, breaks[s] - breaks[offs[row]], np.searchsorted(s, offs)
 
 
-def names(h: np.ndarray) -> list[np.ndarray]:
-    """names[k][i] names lines i to i + 2**k of one document."""
-    out = [h]
-    with np.errstate(over="ignore"):
-        while (half := 1 << (len(out) - 1)) * 2 <= len(h):
-            x = out[-1]
-            out.append(common.mix(x[:-half] * _U64(0x9FB21C651E98DF25) + x[half:] * _U64(0xC2B2AE3D27D4EB4F) + _U64(len(out))))
-    return out
-
-
-def name(level: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Names of sequences by start and length: two overlapping ones of a power of two, and the length."""
-    k = np.floor(np.log2(length)).astype(np.int64)
-    out = np.empty(len(start), _U64)
-    with np.errstate(over="ignore"):
-        for j in np.unique(k).tolist():
-            at = k == j
-            a, n = start[at], length[at]
-            out[at] = common.mix(level[j][a] * _U64(0x165667B19E3779F9) + level[j][a + n - (1 << j)] * _U64(0xE7037ED1A0B428DB) + n.astype(_U64))
-    return out
-
-
 def shortest(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the shortest sequences with enough words that start, and that end, at each line; each once."""
     c = np.concatenate([[0], np.cumsum(n)])
@@ -85,30 +65,82 @@ def shortest(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return pair[0], pair[1] - pair[0]
 
 
-def windows(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
-    """(name, doc_id, start, length) of the shortest qualifying sequences; start and length count lines with words."""
+def line_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, h, n): the lines with words of each document, numbered from 0; h names the line, n counts its words."""
 
     def run(batches):
         for b in batches:
             buf, offs = common.text_bytes(b.column(1))
             h, n, _, at = sequences(buf, offs)
-            ids, out = b.column(0).to_pylist(), []
-            for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                if i == j:
-                    continue
-                s, m = shortest(n[i:j], least)
+            size = np.diff(at)
+            k = np.arange(len(h)) - np.repeat(at[:-1], size)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), size)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "k", "h", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, h long, n int")
+
+
+def stretches(lines: DataFrame, least: int) -> DataFrame:
+    """(doc_id, seg, k, h, n): maximal stretches of lines that occur twice or more, of at least `least` words."""
+    twice = lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    rows = lines.join(twice, "h")
+    rows = rows.withColumn("seg", F.col("k") - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")))
+    enough = F.sum("n").over(Window.partitionBy("doc_id", "seg"))
+    return rows.withColumn("words", enough).filter(F.col("words") >= least).select("doc_id", "seg", "k", "h", "n")
+
+
+def ranked(rows: DataFrame, levels: int) -> DataFrame:
+    """rows with r0, r1, ...: places of suffixes sorted by their first 1, 2, 4, ... lines; equal ones share the first
+    place. A suffix that ends sooner sorts first. Groups are aggregated before they are ordered."""
+    count = rows.groupBy("h").agg(F.count("*").alias("c")).withColumn("part", F.shiftright("h", 54))
+    parts = count.groupBy("part").agg(F.sum("c").alias("pc"))  # at most 1024 rows
+    parts = parts.withColumn("base", F.sum("pc").over(Window.orderBy("part")) - F.col("pc")).drop("pc")
+    first = count.withColumn("in", F.sum("c").over(Window.partitionBy("part").orderBy("h")) - F.col("c")).join(F.broadcast(parts), "part").select("h", (F.col("base") + F.col("in")).alias("r0"))
+    rows = common.cut(rows.join(first, "h").drop("h"))
+    for j in range(levels - 1):
+        r, up = f"r{j}", f"r{j + 1}"
+        ahead = F.coalesce(F.lead(r, 1 << j).over(Window.partitionBy("doc_id", "seg").orderBy("k")), F.lit(-1))
+        rows = rows.withColumn("second", ahead)
+        pairs = rows.groupBy(r, "second").agg(F.count("*").alias("c"))
+        pairs = pairs.withColumn(up, F.col(r) + F.sum("c").over(Window.partitionBy(r).orderBy("second")) - F.col("c")).drop("c")
+        rows = common.cut(rows.join(pairs, [r, "second"]).drop("second"))
+    return rows
+
+
+def windows(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
+    """(length, head, tail, doc_id, start): the shortest qualifying sequences in stretches, named by their length and the
+    ranks of the two longest powers of two at their ends."""
+    levels = max(1, least).bit_length()
+    rows = ranked(stretches(common.cut(line_ids(docs)), least), levels)
+    fields = ["k", "n", *[f"r{j}" for j in range(levels)]]
+    packed = rows.groupBy("doc_id", "seg").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
+
+    def run(batches):
+        for b in batches:
+            ids, offs, x = b.column(0).to_numpy(), b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            offs = offs - offs[0]
+            col = {f: x.field(f).to_numpy() for f in fields}
+            out = []
+            for d, i, j in zip(ids.tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                s, m = shortest(col["n"][i:j], least)
                 if len(s):
-                    out.append((name(names(h[i:j]), s, m).view(np.int64), np.full(len(s), ids[k], np.int64), s, m))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["name", "doc_id", "start", "length"])
+                    out.append((np.full(len(s), d, np.int64), s + i, m))
+            if not out:
+                continue
+            d, s, m = (np.concatenate(c) for c in zip(*out, strict=True))
+            level = np.floor(np.log2(m)).astype(np.int64)
+            ranks = np.stack([col[f"r{j}"] for j in range(levels)])
+            head, tail = ranks[level, s], ranks[level, s + m - (1 << level)]
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(head), pa.array(tail), pa.array(d), pa.array(col["k"][s], pa.int32())], ["length", "head", "tail", "doc_id", "start"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "name long, doc_id long, start int, length int")
+    return packed.select("doc_id", "x").mapInArrow(run, "length int, head long, tail long, doc_id long, start int")
 
 
 def later_copies(w: DataFrame) -> DataFrame:
     """Sequences of w that occur at an earlier place."""
-    first = w.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return w.join(first, "name").filter(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "length")
+    name = ["length", "head", "tail"]
+    first = w.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return w.join(first, name).filter(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "length")
 
 
 def dedup(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
