@@ -58,6 +58,11 @@ def classify_particles(members: DataFrame, aggl: DataFrame) -> DataFrame:
     return members.join(a, ["ds_id", "agl"]).withColumn("type", kind).drop("kind")
 
 
+def append_members(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (ds_id, ID, agl) with further ones; who is a member already stays once."""
+    return labels.unionByName(more.select("ds_id", "ID", "agl")).dropDuplicates(["ds_id", "ID", "agl"])
+
+
 def members_of(members: DataFrame) -> DataFrame:
     """For each agglomerate its members' IDs and diameters, from large to small."""
     rows = F.sort_array(F.collect_list(F.struct("k", "ID", "D")))

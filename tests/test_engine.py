@@ -137,3 +137,13 @@ def test_bins_close_on_the_right(spark):
 def test_empty_particles(spark):
     parts, members, aggl = full(spark, [])
     assert aggl.count() == 0 and members.count() == 0 and summary.dataset_summary(parts, aggl).count() == 0
+
+
+def test_append_members_and_log(spark, tmp_path):
+    from granulo import log
+
+    a = spark.createDataFrame([("a", 1, 1), ("a", 2, 1)], "ds_id string, ID long, agl long")
+    assert morphology.append_members(a, a.limit(1).unionByName(spark.createDataFrame([("a", 3, 1)], a.schema))).count() == 3
+    for _ in range(2):
+        log.set_up(str(tmp_path / "x.log")).info("once")
+    assert (tmp_path / "x.log").read_text().count("once") == 2 and len(log.set_up().handlers) == 1
