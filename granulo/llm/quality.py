@@ -10,6 +10,8 @@ line breaks is one line; an empty table gives no rows; ledger() keeps no other c
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,8 +110,10 @@ def ablations(led: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of docs (any columns) that a policy keeps."""
-    bits = sum((F.when(F.expr(rule.replace("n_", "m__.n_").replace("word_chars", "m__.word_chars")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items() if POLICIES[version] & BIT[name]), F.lit(0))
-    return docs.withColumn("m__", measure(docs["text"])).filter(bits == 0).drop("m__")
+    names = "|".join(MEASURES)
+    failed = " OR ".join(re.sub(rf"\b({names})\b", r"m.\1", rule) for name, rule in RULES.items() if POLICIES[version] & BIT[name])
+    # the measures' column is named once, in a lambda: named once for each rule, it would be pasted and run as often
+    return docs.withColumn("m__", measure(docs["text"])).filter(F.expr(f"NOT exists(array(m__), m -> {failed})")).drop("m__")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
