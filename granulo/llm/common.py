@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Records of an Arrow batch sent to Python; texts may be long, so it is far below Spark's default.
 BATCH_RECORDS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -41,7 +41,7 @@ MIN_BITS, MAX_BITS = 256, 1 << 16
 #: Classes of a tile that are compared in one task.
 TILE_ROWS = 2048
 #: Tokens that a task packs at a time.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 
 _U64 = np.uint64
 _M48 = _U64((1 << 48) - 1)
