@@ -1,6 +1,7 @@
 """The registered queries against their SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ def same(spark, sf, name, f, sql):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     a, b = f(spark, sf).toPandas(), c.execute(sql).df()
     assert sorted(a.columns) == sorted(b.columns)
-    rows = lambda d: sorted((tuple(None if v != v else v for v in r) for r in d[sorted(a.columns)].astype(object).itertuples(index=False, name=None)), key=repr)
+    rows = lambda d: sorted((tuple(None if pd.isna(v) else v for v in r) for r in d[sorted(a.columns)].astype(object).itertuples(index=False, name=None)), key=repr)
     assert rows(a) == rows(b)
 
 
