@@ -4,7 +4,7 @@ A seed is a fixed mask over consecutive words: the words at its ones are hashed,
 seeds of the test items form a small index that each task holds; training texts are hashed in whole batches by the same
 masks and looked up. Around each hit the item is laid along the text word by word, and the best stretch (a match counts
 1, a substitution costs PENALTY) is measured: a text is contaminated if some stretch has at least MIN_MATCH equal words,
-or all words of a shorter item.
+or all words of a shorter item. Items that hold no seed are looked up whole, by a hash of their words for each length.
 
 Test sets of any size work: the index holds at most MAX_INDEX_WORDS words, and a larger set is taken in blocks, each of
 them against all texts.
@@ -25,6 +25,8 @@ from . import common
 
 #: Fixed masks, seven of ten words each but for the last, which finds short items.
 MASKS = ("1111111000", "1101101011", "1110010111", "1011011101", "111111")
+#: Items with fewer words hold no mask and are looked up whole.
+SHORTEST = min(len(m.rstrip("0")) for m in MASKS)
 MIN_MATCH = 13
 PENALTY = 2
 MAX_INDEX_WORDS = 2_000_000
@@ -69,6 +71,29 @@ class Index:
             low = np.zeros(1 << 20, bool)
             low[(h & _U64((1 << 20) - 1)).astype(np.int64)] = True
             self.tables.append((mask, width, low, h, pos))
+        # items that no mask fits into: each length by a hash of whole word sequences
+        self.short = []
+        size = np.diff(self.at)
+        for n in range(1, SHORTEST):
+            item = np.flatnonzero(size == n)
+            if len(item):
+                keys = common.windows(self.words, n)[self.at[item]]
+                order = np.argsort(keys, kind="stable")
+                self.short.append((n, keys[order], item[order]))
+
+    def whole(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, words) of items shorter than any mask that stand whole in a text."""
+        out = []
+        for n, keys, items in self.short:
+            s = common.windows(h, n)
+            lo = np.searchsorted(keys, s)
+            p = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == s)
+            row = np.searchsorted(at, p, side="right") - 1
+            p, row = p[p + n <= at[row + 1]], row[p + n <= at[row + 1]]
+            # once a row and key, however often the words stand there
+            for r, k in np.unique(np.stack([row, lo[p]]), axis=1).T.tolist():
+                out += [(r, i, n) for i in items[k : np.searchsorted(keys, keys[k], side="right")].tolist()]
+        return out
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of texts and of items at which a seed starts in both."""
@@ -85,13 +110,15 @@ class Index:
     def scan(self, col: pa.Array) -> dict[int, dict[int, int]]:
         """For rows with a verified overlap: equal words of the best stretch by item."""
         h, at = words(col)
+        found: dict[int, dict[int, int]] = {}
+        for r, i, n in self.whole(h, at):
+            found.setdefault(r, {})[self.ids[i]] = n
         p, q = self.hits(h)
         if not len(p):
-            return {}
+            return found
         row, item = np.searchsorted(at, p, side="right") - 1, np.searchsorted(self.at, q, side="right") - 1
         # a text may start inside an item or end before it does: the diagonal alone says which words meet
         tried = np.unique(np.stack([row, item, p - q]), axis=1).T
-        found: dict[int, dict[int, int]] = {}
         for r, i, d in tried.tolist():
             a, b = max(int(at[r]), int(self.at[i]) + d), min(int(at[r + 1]), int(self.at[i + 1]) + d)
             if (best := stretch(h[a:b] == self.words[a - d : b - d])) >= min(MIN_MATCH, int(self.at[i + 1] - self.at[i])):

@@ -254,6 +254,17 @@ def test_decontamination(spark, docs_of, monkeypatch):
     assert not decontamination.overlaps(docs_of(rows), test.limit(0)).filter("contaminated").count()
 
 
+def test_items_shorter_than_any_mask_are_found(spark, docs_of):
+    items = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in range(1, 8)] + [(20, "S2X0, s2x1"), (21, None), (22, "")]
+    rows = [(n, f"w1 {t} w2 {t}!") for n, t in items[:7]] + [(30 + n, " ".join(t.split()[:-1])) for n, t in items[1:7]] + [(40, "s3x0 s3x1 w1 s3x2"), (41, "s2x0"), (42, "s2x1"), (43, items[2][1]), *ODD]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    want = {n: ([n, 20] if n == 2 else [n], n) for n in range(1, 8)} | {43: ([3], 3)}
+    df = docs_of(rows, 1)
+    got = decontamination.overlaps(df, test).collect()
+    assert {x.doc_id: (list(x.item_ids), x.matched) for x in got if x.contaminated} == want and len(got) == len(rows)
+    assert {x.doc_id for x in decontamination.filter_clean(df, test).collect()} == {i for i, _ in rows} - want.keys()
+
+
 def test_best_stretch():
     e = np.array([1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)
     assert decontamination.stretch(e) == 3 or decontamination.stretch(e) == 5
