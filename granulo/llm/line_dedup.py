@@ -1,7 +1,7 @@
 """Deletes later copies of repeated line runs.
 
 A run is a sequence of consecutive lines (lines without words don't count and don't part runs); it is repeated if the
-same sequence starts at another place, in any document. The earliest copy (least doc_id, then line) of each repeated run
+same sequence starts at another place, in any document. The earliest copy (least doc_id, then row, then line) of each repeated run
 with at least MIN_RUN_WORDS words stays; its later copies are deleted.
 
 Lines become identifiers. Only lines that occur twice can be part of a repeated run, so what is sorted are the suffixes of
@@ -17,8 +17,9 @@ inside the run. Else take the last s from which the words to j suffice; the shor
 and not before x, as the words from i to x don't suffice.
 
 Defined results: a null or empty text, and one without repeated runs, stays as it is; equal documents lose all lines but
-in the first; what stays keeps its line breaks; other columns stay. A repeated doc_id is no key: documents must have
-their own.
+in the first; what stays keeps its line breaks; other columns stay. Each row is a document of its own, by a key written
+once with the rows: a doc_id may repeat, with equal texts or not, or be null, which comes before all others. Which of the
+rows of one doc_id comes first follows from how they are stored.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def shortest(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, h, n): the lines with words of each document, numbered from 0; h names the line, n counts its words."""
+    """(doc_id, row__, k, h, n): the lines with words of each row, numbered from 0; h names the line, n counts its words."""
 
     def run(batches):
         for b in batches:
@@ -74,19 +75,19 @@ def line_ids(docs: DataFrame) -> DataFrame:
             h, n, _, at = sequences(buf, offs)
             size = np.diff(at)
             k = np.arange(len(h)) - np.repeat(at[:-1], size)
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), size)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "k", "h", "n"])
+            of = pa.array(np.repeat(np.arange(b.num_rows), size))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(2).take(of), pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "row__", "k", "h", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, h long, n int")
+    return docs.select("doc_id", "text", "row__").mapInArrow(run, "doc_id long, row__ long, k int, h long, n int")
 
 
 def stretches(lines: DataFrame, least: int) -> DataFrame:
-    """(doc_id, seg, k, h, n): maximal stretches of lines that occur twice or more, of at least `least` words."""
+    """(doc_id, row__, seg, k, h, n): maximal stretches of lines that occur twice or more, of at least `least` words."""
     twice = lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     rows = lines.join(twice, "h")
-    rows = rows.withColumn("seg", F.col("k") - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")))
-    enough = F.sum("n").over(Window.partitionBy("doc_id", "seg"))
-    return rows.withColumn("words", enough).filter(F.col("words") >= least).select("doc_id", "seg", "k", "h", "n")
+    rows = rows.withColumn("seg", F.col("k") - F.row_number().over(Window.partitionBy("row__").orderBy("k")))
+    enough = F.sum("n").over(Window.partitionBy("row__", "seg"))
+    return rows.withColumn("words", enough).filter(F.col("words") >= least).select("doc_id", "row__", "seg", "k", "h", "n")
 
 
 def ranked(rows: DataFrame, levels: int) -> DataFrame:
@@ -99,7 +100,7 @@ def ranked(rows: DataFrame, levels: int) -> DataFrame:
     rows = common.cut(rows.join(first, "h").drop("h"))
     for j in range(levels - 1):
         r, up = f"r{j}", f"r{j + 1}"
-        ahead = F.coalesce(F.lead(r, 1 << j).over(Window.partitionBy("doc_id", "seg").orderBy("k")), F.lit(-1))
+        ahead = F.coalesce(F.lead(r, 1 << j).over(Window.partitionBy("row__", "seg").orderBy("k")), F.lit(-1))
         rows = rows.withColumn("second", ahead)
         pairs = rows.groupBy(r, "second").agg(F.count("*").alias("c"))
         pairs = pairs.withColumn(up, F.col(r) + F.sum("c").over(Window.partitionBy(r).orderBy("second")) - F.col("c")).drop("c")
@@ -108,20 +109,20 @@ def ranked(rows: DataFrame, levels: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
-    """(length, head, tail, doc_id, start): the shortest qualifying sequences in stretches, named by their length and the
+    """(length, head, tail, doc_id, row__, start): the shortest qualifying sequences in stretches, named by their length and the
     ranks of the two longest powers of two at their ends."""
     levels = max(1, least).bit_length()
     rows = ranked(stretches(common.cut(line_ids(docs)), least), levels)
     fields = ["k", "n", *[f"r{j}" for j in range(levels)]]
-    packed = rows.groupBy("doc_id", "seg").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
+    packed = rows.groupBy("row__", "seg").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
 
     def run(batches):
         for b in batches:
-            ids, offs, x = b.column(0).to_numpy(), b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            offs, x = b.column(2).offsets.to_numpy(), b.column(2).flatten()
             offs = offs - offs[0]
             col = {f: x.field(f).to_numpy() for f in fields}
             out = []
-            for d, i, j in zip(ids.tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            for d, (i, j) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
                 s, m = shortest(col["n"][i:j], least)
                 if len(s):
                     out.append((np.full(len(s), d, np.int64), s + i, m))
@@ -131,24 +132,25 @@ def windows(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
             level = np.floor(np.log2(m)).astype(np.int64)
             ranks = np.stack([col[f"r{j}"] for j in range(levels)])
             head, tail = ranks[level, s], ranks[level, s + m - (1 << level)]
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(head), pa.array(tail), pa.array(d), pa.array(col["k"][s], pa.int32())], ["length", "head", "tail", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(head), pa.array(tail), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(col["k"][s], pa.int32())], ["length", "head", "tail", "doc_id", "row__", "start"])
 
-    return packed.select("doc_id", "x").mapInArrow(run, "length int, head long, tail long, doc_id long, start int")
+    return packed.select("doc_id", "row__", "x").mapInArrow(run, "length int, head long, tail long, doc_id long, row__ long, start int")
 
 
 def later_copies(w: DataFrame) -> DataFrame:
     """Sequences of w that occur at an earlier place."""
-    name = ["length", "head", "tail"]
-    first = w.groupBy(*name).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return w.join(first, name).filter(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "length")
+    name, place = ["length", "head", "tail"], F.struct("doc_id", "row__", "start")
+    first = w.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return w.join(first, name).filter(place > F.col("first")).select("row__", "start", "length")
 
 
 def dedup(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
     """docs with later copies deleted from text, and n_lines__ and n_deleted__ (lines with words)."""
     common.prepare(docs.sparkSession)
-    w = common.cut(windows(docs, least))
-    dead = later_copies(w).groupBy(F.col("doc_id").alias("id__")).agg(F.collect_set(F.struct("start", "length")).alias("dead__"))
-    joined = docs.join(dead, docs["doc_id"] == dead["id__"], "left").drop("id__")
+    keyed = common.cut(docs.withColumn("row__", F.monotonically_increasing_id()))
+    w = common.cut(windows(keyed, least))
+    dead = later_copies(w).groupBy("row__").agg(F.collect_set(F.struct("start", "length")).alias("dead__"))
+    joined = keyed.join(dead, "row__", "left").drop("row__")
     columns, at = list(docs.columns), docs.columns.index("text")
 
     def run(batches):

@@ -174,6 +174,18 @@ def test_line_dedup_keeps_first_copies(spark, docs_of):
     assert line_dedup.clean(docs_of([])).count() == 0
 
 
+def test_line_dedup_of_repeated_rows(spark, docs_of):
+    line = lambda name, n: "\n".join(f"{name}{k} a b c d e" for k in range(n))
+    p, q = line("p", 10), line("q", 8)
+    rows = [(5, p), (5, p), (1, f"own words\n{p}"), (7, f"{q}\nshort"), (7, f"{line('z', 3)}\n{p}\n{line('y', 9)}"), (7, "short"), (8, q), (None, line("n", 6)), (None, line("n", 6)), (9, None), (9, None)]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
+    keyed = [(k, rows[i][1]) for k, i in enumerate(order)]
+    want = dedup_brute(keyed, line_dedup.MIN_RUN_WORDS)
+    for parts in (1, 3):
+        got = line_dedup.dedup(docs_of(rows, parts)).collect()
+        assert Counter((x.doc_id, x.text) for x in got) == Counter((rows[order[k]][0], t) for k, t in want.items())
+
+
 # ---- n-gram Jaccard ---------------------------------------------------------------------------
 
 
