@@ -150,25 +150,23 @@ def indexes(test: DataFrame, most: int = MAX_INDEX_WORDS) -> list:
 def overlaps(docs: DataFrame, test: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted), matched (equal words of the best stretch) of each document."""
     common.prepare(docs.sparkSession)
+    out = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("matched"))
     blocks = indexes(test)
+    for index in blocks:
+        last = index is blocks[-1]  # the texts go no further
 
-    def run(index):
-        def scan(batches):
+        def scan(batches, index=index, last=last):
             for b in batches:
-                found = index.value.scan(b.column(1))
-                ids = [sorted(found.get(k, ())) for k in range(b.num_rows)]
-                best = [max(found[k].values()) if k in found else 0 for k in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(x) for x in ids]), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.int64())], ["doc_id", "contaminated", "item_ids", "matched"])
-
-        return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, contaminated boolean, item_ids array<long>, matched long")
-
-    outs = [run(x) for x in blocks]
-    if len(outs) == 1:
-        return outs[0]
-    every = outs[0]
-    for x in outs[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("matched").alias("matched"))
+                ids, best = b.column(2).to_pylist(), b.column(3).to_pylist()
+                for k, mine in index.value.scan(b.column(1)).items():
+                    ids[k], best[k] = sorted({*ids[k], *mine}), max(best[k], *mine.values())
+                cols = {"doc_id": b.column(0), "text": b.column(1), "item_ids": pa.array(ids, pa.list_(pa.int64())), "matched": pa.array(best, pa.int64())}
+                if last:
+                    del cols["text"]
+                yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
+
+        out = out.mapInArrow(scan, f"doc_id long, {'' if last else 'text string, '}item_ids array<long>, matched long")
+    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "matched")
 
 
 def filter_clean(docs: DataFrame, test: DataFrame) -> DataFrame:

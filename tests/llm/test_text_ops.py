@@ -277,6 +277,16 @@ def test_items_shorter_than_any_mask_are_found(spark, docs_of):
     assert {x.doc_id for x in decontamination.filter_clean(df, test).collect()} == {i for i, _ in rows} - want.keys()
 
 
+def test_repeated_rows_are_judged_alike_with_any_number_of_blocks(spark, docs_of, monkeypatch):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(6)]
+    rows = [(1, f"{items[0][1]} {items[4][1]}"), (1, items[2][1]), (1, "clean"), (None, items[3][1]), (None, "clean"), (None, None)]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    for most in (2_000_000, 30):
+        monkeypatch.setattr(decontamination.indexes, "__defaults__", (most,))
+        got = decontamination.overlaps(docs_of(rows), test).collect()
+        assert Counter((x.doc_id, x.contaminated, tuple(x.item_ids), x.matched) for x in got) == Counter([(1, True, (0, 4), 15), (1, True, (2,), 15), (1, False, (), 0), (None, True, (3,), 15), (None, False, (), 0), (None, False, (), 0)])
+
+
 def test_best_stretch():
     e = np.array([1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)
     assert decontamination.stretch(e) == 3 or decontamination.stretch(e) == 5
