@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive words: the words at its ones are hashed,
 seeds of the test items form a small index that each task holds; training texts are hashed in whole batches by the same
 masks and looked up. Around each hit the item is laid along the text word by word, and the best stretch (a match counts
 1, a substitution costs PENALTY) is measured: a text is contaminated if some stretch has at least MIN_MATCH equal words,
-or all words of a shorter item. Items that hold no seed are looked up whole, by a hash of their words for each length.
+or all words of a shorter item. The masks miss no such stretch (see MASKS). Items of fewer than MIN_MATCH words are looked up
+whole, by a hash of their words for each length.
 
 Test sets of any size work: the index holds at most MAX_INDEX_WORDS words, and a larger set is taken in blocks, each of
 them against all texts.
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed masks, seven of ten words each but for the last, which finds short items.
-MASKS = ("1111111000", "1101101011", "1110010111", "1011011101", "111111")
-#: Items with fewer words hold no mask and are looked up whole.
-SHORTEST = min(len(m.rstrip("0")) for m in MASKS)
+#: What seven words with two substitutions can be at the start of a best stretch. Each beginning of it scores 0 or more, else
+#: the stretch without it were better: the first substitution has two equal words before it and the second four, and of the
+#: first seven words five are equal. So each qualifying stretch holds a seed at its first word.
+MASKS = ("1111100", "1111010", "1110110", "1101110", "1111001", "1110101", "1101101")
 MIN_MATCH = 13
 PENALTY = 2
 MAX_INDEX_WORDS = 2_000_000
@@ -64,17 +65,17 @@ class Index:
             width = len(mask.rstrip("0"))
             h = seed_hashes(self.words, mask)
             item = np.searchsorted(self.at, np.arange(len(h)), side="right") - 1
-            inside = np.arange(len(h)) + width <= self.at[item + 1]
+            inside = (np.arange(len(h)) + width <= self.at[item + 1]) & (self.at[item + 1] - self.at[item] >= MIN_MATCH)
             pos = np.flatnonzero(inside)
             order = np.argsort(h[pos], kind="stable")
             pos, h = pos[order], h[pos][order]
             low = np.zeros(1 << 20, bool)
             low[(h & _U64((1 << 20) - 1)).astype(np.int64)] = True
             self.tables.append((mask, width, low, h, pos))
-        # items that no mask fits into: each length by a hash of whole word sequences
+        # shorter items must be there as a whole: each length by a hash of whole word sequences
         self.short = []
         size = np.diff(self.at)
-        for n in range(1, SHORTEST):
+        for n in range(1, MIN_MATCH):
             item = np.flatnonzero(size == n)
             if len(item):
                 keys = common.windows(self.words, n)[self.at[item]]
@@ -82,7 +83,7 @@ class Index:
                 self.short.append((n, keys[order], item[order]))
 
     def whole(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, words) of items shorter than any mask that stand whole in a text."""
+        """(row, item, words) of items of fewer than MIN_MATCH words that stand whole in a text."""
         out = []
         for n, keys, items in self.short:
             s = common.windows(h, n)
@@ -117,11 +118,18 @@ class Index:
         if not len(p):
             return found
         row, item = np.searchsorted(at, p, side="right") - 1, np.searchsorted(self.at, q, side="right") - 1
+        fits = (p + MIN_MATCH <= at[row + 1]) & (q + MIN_MATCH <= self.at[item + 1])
+        p, q, row, item = (x[fits] for x in (p, q, row, item))
+        score = np.zeros(len(p), np.int64)
+        for j in range(MIN_MATCH):  # no beginning of a best stretch scores less than 0
+            score += np.where(h[p + j] == self.words[q + j], 1, -PENALTY)
+            good = score >= 0
+            p, q, row, item, score = (x[good] for x in (p, q, row, item, score))
         # a text may start inside an item or end before it does: the diagonal alone says which words meet
         tried = np.unique(np.stack([row, item, p - q]), axis=1).T
         for r, i, d in tried.tolist():
             a, b = max(int(at[r]), int(self.at[i]) + d), min(int(at[r + 1]), int(self.at[i + 1]) + d)
-            if (best := stretch(h[a:b] == self.words[a - d : b - d])) >= min(MIN_MATCH, int(self.at[i + 1] - self.at[i])):
+            if (best := stretch(h[a:b] == self.words[a - d : b - d])) >= MIN_MATCH:
                 mine = found.setdefault(r, {})
                 mine[self.ids[i]] = max(best, mine.get(self.ids[i], 0))
         return found

@@ -287,6 +287,24 @@ def test_repeated_rows_are_judged_alike_with_any_number_of_blocks(spark, docs_of
         assert Counter((x.doc_id, x.contaminated, tuple(x.item_ids), x.matched) for x in got) == Counter([(1, True, (0, 4), 15), (1, True, (2,), 15), (1, False, (), 0), (None, True, (3,), 15), (None, False, (), 0), (None, False, (), 0)])
 
 
+def test_no_qualifying_stretch_is_missed():
+    r = random.Random(6)
+    want, got = [], []
+    for n in (13, 14, 16, 24, 58):
+        items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k in range(40)]
+        index = decontamination.Index(items)
+        for rate in (0.15, 0.25, 0.3):
+            texts = ["pre " + " ".join("zz" if r.random() < rate else w for w in t.split()) + " post" for _, t in items]
+            found = index.scan(pa.array(texts))
+            for k, t in enumerate(texts):
+                best = decontamination.stretch(np.array([w != "zz" for w in t.split()[1:-1]]))
+                want.append({k: best} if best >= decontamination.MIN_MATCH else {})
+                got.append(found.get(k, {}))
+    assert got == want and 100 < sum(map(bool, want)) < 550
+    fourth = " ".join("zz" if j % 4 == 3 else f"w{j}" for j in range(100))
+    assert decontamination.Index([(1, " ".join(f"w{j}" for j in range(100)))]).scan(pa.array([fourth])) == {0: {1: 75}}
+
+
 def test_best_stretch():
     e = np.array([1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)
     assert decontamination.stretch(e) == 3 or decontamination.stretch(e) == 5
