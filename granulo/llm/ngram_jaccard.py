@@ -390,9 +390,14 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs (any columns beside doc_id and text) whose doc_id is the least of their group."""
-    first = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("id__"))
-    return docs.join(first.distinct(), docs["doc_id"] == F.col("id__"), "left_semi")
+    """One row of each group of docs (any columns beside doc_id and text): that of least doc_id, and of several with it the
+    first as they are stored. Each row is a document of its own, by a key written once with the rows; rows without a
+    doc_id come last in their group, and stay where no other row is linked to them."""
+    keyed = common.cut(docs.withColumn("row__", F.monotonically_increasing_id()))
+    groups = components(keyed.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
+    first = keyed.select("row__", "doc_id").join(groups, "row__").groupBy("group__").agg(F.min(place).alias("first")).select(F.col("first.row__").alias("row__"))
+    return keyed.join(first, "row__", "left_semi").select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

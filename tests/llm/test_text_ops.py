@@ -233,6 +233,15 @@ def test_jaccard_chain_and_empty(spark, docs_of):
     assert {r.component_id for r in ngram_jaccard.components(docs_of([(1, None), (2, "")])).collect()} == {1, 2}
 
 
+def test_one_each_of_repeated_and_null_ids(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (3, a), (5, a + " x"), (None, a), (None, b), (None, b), (None, c), (7, "own"), (7, "other"), (None, None), (None, "")]
+    df = docs_of(rows)
+    one = ngram_jaccard.one_each(df)
+    assert one.columns == df.columns
+    assert Counter((x.doc_id, x.text) for x in one.collect()) == Counter([(3, a), (None, b), (None, c), (7, "own"), (7, "other"), (None, None), (None, "")])
+
+
 def test_bitmap_bound_never_undercuts():
     r = np.random.default_rng(0)
     for _ in range(50):
