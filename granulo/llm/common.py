@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Records of an Arrow batch sent to Python; texts may be long, so it is far below Spark's default.
 BATCH_RECORDS = 512
@@ -25,16 +28,17 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, and only if
+    all runs on this machine."""
     sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if told:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(told)
-        return told
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not told:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        told = os.path.join(tempfile.gettempdir(), "granulo-checkpoints")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "granulo-checkpoints"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(told)
+    return told
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -42,12 +46,63 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it ends, and not when the driver happens to collect its garbage."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: lost executors don't make earlier work run twice."""
     spark = df.sparkSession
     path = fresh_dir(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote for tables that nothing reads any more."""
+    from . import files
+
+    for t in tables:
+        files.drop(t.cut_path)
+
+
+def spare(name: str, *tables: DataFrame) -> str:
+    """The name, with marks added until no table has a column that SQL would take for it."""
+    have = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: A key with fewer rows than this isn't worth a way of its own; and so many keys with a way of their own there are at most.
+HOT_ROWS, HOT_KEYS = 2000, 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for each key and in `count` about how many of rows have it. Keys that hold
+    many rows are few by arithmetic (no more than HOT_KEYS have a HOT_KEYS-th of all): their part of table is broadcast, so
+    rows of such a key stay where they are. Others are joined by a shuffle. Both are read twice: give tables at rest."""
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(table, on, how)
+    hot = F.col(count) > limit
+    few = table.filter(hot)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(table.filter(~hot), on, how)
+    return rows.join(F.broadcast(few), on).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,15 +125,15 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U64(31))
 
 
-def _byte_table(fold: bool) -> np.ndarray:
+def _byte_table(fold: bool, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     with np.errstate(over="ignore"):
-        t = mix((np.arange(256, dtype=_U64) + _U64(1)) * _U64(0xD6E8FEB86659FD93))
+        t = mix((np.arange(256, dtype=_U64) + _U64(1)) * _U64(factor))
     if fold:
         t[65:91] = t[97:123]
     return t
 
 
-_FOLDED, _PLAIN = _byte_table(True), _byte_table(False)
+_FOLDED, _PLAIN, _OTHER = _byte_table(True), _byte_table(False), _byte_table(False, 0xA0761D6478BD642F)
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -101,9 +156,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each byte span (spans in order, apart); equal bytes give equal hashes. fold: A-Z as a-z."""
-    t = _FOLDED if fold else _PLAIN
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte span (spans in order, apart); equal bytes give equal hashes. fold: A-Z as a-z; other:
+    without folding, a second hash for those who need 128 bits."""
+    t = _OTHER if other else _FOLDED if fold else _PLAIN
     out = np.empty(len(starts), _U64)
     i = 0
     while i < len(starts):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ def make(folder: str) -> None:
     store.create_dir(path, recursive=True)
 
 
+def drop(folder: str) -> None:
+    """Deletes a folder, if it is there."""
+    store, path = _at(folder)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
+def parquet(folder: str) -> pa.Table | None:
+    """The rows of a folder's Parquet files, one after another; None where there is no such folder."""
+    store, path = _at(folder)
+    if store.get_file_info(path).type != fs.FileType.Directory:
+        return None
+    names = sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in names]) if names else None
+
+
 def read(uri: str, offset: int, size: int) -> bytes:
     store, path = _at(uri)
     with store.open_input_file(path) as f:

@@ -1,9 +1,11 @@
 """N-gram Jaccard join: which texts share enough word shingles, exactly, and the groups that such links form.
 
-1. Texts become sets of shingle hashes. Equal sets form a class at once, by aggregation; what follows sees classes.
-2. Token counts: every class sends its tokens, packed in sorted arrays, to the tokens' buckets; a bucket counts in how
-   many classes each token is and answers only with tokens of two or more. A class of n tokens can only link if all but
-   n - ceil(0.75 n) of its tokens are shared, so most classes end here.
+1. A single pass turns texts into sets of shingle hashes. A task deals its rows into chunks; rows of a chunk with equal sets
+   are one class. What leaves the chunk are its tokens, packed, to the tokens' buckets, and a list of its rows and classes.
+2. Token counts: a bucket counts in how many classes each token is and answers the chunks, only with tokens of two or more.
+   A token that many classes of one chunk share is known there to be frequent: it stays, and its bucket gets one entry from
+   the chunk instead of one for each class. A class of n tokens can only link if all but n - ceil(0.75 n) of its tokens
+   are shared, so most classes end here. Equal sets of different chunks are found by 128-bit keys, of which one class stays.
 3. Survivors order their tokens from rare to frequent. Two sets that link meet in their first n - ceil(0.75 n) + 1 tokens
    (prefix filter). A tile is one such token and one band of sizes: bands grow by 4/3, so partners lie in the same or the
    next band, and a class enters the tiles of its own band and, as a guest, of the next.
@@ -13,25 +15,25 @@
    of A outside B. Tiles are compared as bit matrices and give out only pairs whose bound suffices.
 6. Those pairs' sorted arrays are intersected exactly.
 
-Hash width is 48 bits for tokens and 64 for sets; within a pair a false common token has odds of about n**2 / 2**48.
+Hash width is 48 bits for tokens and 128 for sets; within a pair a false common token has odds of about n**2 / 2**48.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own group; with fewer
-words than a shingle the whole sequence is the shingle; equal rows are linked; other columns don't matter; an empty table
-gives no rows.
+words than a shingle the whole sequence is the shingle; equal rows are linked; rows that repeat a doc_id count as rows; a
+null doc_id is never the least of its group; other columns don't matter; an empty table gives no rows. The rows are read
+once, and a task that runs again must meet them in the same order: give tables at rest.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granulo.operators.components import connected_components
 
-from . import common
+from . import common, side
 
 WORDS = 5
 #: The least similarity, 3/4, in whole numbers.
@@ -40,8 +42,12 @@ NUM, DEN = 3, 4
 MIN_BITS, MAX_BITS = 256, 1 << 16
 #: Classes of a tile that are compared in one task.
 TILE_ROWS = 2048
-#: Tokens that a task packs at a time.
-CHUNK_TOKENS = 1 << 19
+#: Tokens and classes of a chunk.
+CHUNK_TOKENS, CHUNK_CLASSES = 1 << 19, 1 << 16
+#: Classes of a chunk that make a token frequent, and the count that all frequent tokens get.
+OFTEN, FREQUENT = 64, 65535
+#: Characters of text whose tokens share a bucket, on average.
+BUCKET_CHARS = 16 << 20
 
 _U64 = np.uint64
 _M48 = _U64((1 << 48) - 1)
@@ -57,14 +63,16 @@ def linked(common_, a, b):
     return DEN * common_ >= NUM * (a + b - common_)
 
 
-def _keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit key of each set."""
+def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set."""
     size = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate([*sets, np.zeros(1, _U64)])
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, _U64), np.cumsum(common.mix(flat ^ _U64(0x2545F4914F6CDD1D)))])
-        end = np.cumsum(size)
-        return common.mix(total[end] - total[end - size] + size.astype(_U64) * _U64(0x9E3779B97F4A7C15))
+    end, out = np.cumsum(size), []
+    for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35):
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, _U64), np.cumsum(common.mix(flat ^ _U64(salt)))])
+            out.append(common.mix(total[end] - total[end - size] + size.astype(_U64) * _U64(0x9E3779B97F4A7C15)).view(np.int64))
+    return out[0], out[1]
 
 
 def _sets(b: pa.RecordBatch, at: int = 1) -> list[np.ndarray]:
@@ -72,121 +80,159 @@ def _sets(b: pa.RecordBatch, at: int = 1) -> list[np.ndarray]:
     return [np.unique(s & _M48) for s in sets]
 
 
-def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and set_key (null for the empty set)."""
-
-    def run(batches):
-        for b in batches:
-            sets = _sets(b)
-            n = np.array([len(s) for s in sets], np.int64)
-            key = pa.array(_keys(sets).view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), key], ["doc_id", "n_shingles", "set_key"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, behind their lengths."""
+    return b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *[np.ascontiguousarray(x).tobytes() for x in arrays]])
 
 
-def _pack(key: np.ndarray, n: np.ndarray, of: np.ndarray, tok: np.ndarray, df: np.ndarray | None = None) -> bytes:
-    """Classes of a chunk and its tokens: int64 keys, int32 sizes, for each token the number of its class (16 or 32 bits), the token in 6 bytes, its count."""
-    wide = len(key) > 65536
-    used, of = np.unique(of, return_inverse=True)
-    parts = [np.array([len(used), len(tok), wide, df is not None], np.int64), key[used], n[used].astype(np.int32), of.astype(np.uint32 if wide else np.uint16), (tok & _U64(0xFFFFFFFF)).astype(np.uint32), (tok >> _U64(32)).astype(np.uint16)]
-    if df is not None:
-        parts.append(np.minimum(df, 65535).astype(np.uint16))
-    return b"".join(x.tobytes() for x in parts)
-
-
-def _unpack(x) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+def _unpack(x, *kinds) -> list[np.ndarray]:
     x = memoryview(x)
-    classes, tokens, wide, counted = np.frombuffer(x[:32], np.int64).tolist()
-    at = 32
-    out = []
-    for kind, n in ((np.int64, classes), (np.int32, classes), (np.uint32 if wide else np.uint16, tokens), (np.uint32, tokens), (np.uint16, tokens), (np.uint16, tokens if counted else 0)):
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(x[:at], np.int64).tolist(), strict=True):
         end = at + n * np.dtype(kind).itemsize
         out.append(np.frombuffer(x[at:end], kind))
         at = end
-    key, n, of, low, high, df = out
-    return key, n.astype(np.int64), of.astype(np.int64), low.astype(_U64) | (high.astype(_U64) << _U64(32)), df
+    return out
+
+
+def _halves(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in four bytes and two."""
+    return (tok & _U64(0xFFFFFFFF)).astype(np.uint32), (tok >> _U64(32)).astype(np.uint16)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(_U64) | (high.astype(_U64) << _U64(32))
+
+
+def _steps(of: np.ndarray) -> np.ndarray:
+    """A rising sequence as differences, in one byte each where they fit."""
+    d = np.diff(of, prepend=0)
+    return d.astype(np.uint8 if not len(d) or d.max() < 256 else np.uint16)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else [], [len(x)]]).astype(np.int64)
+
+
+def _rows(out: list, names: tuple[str, ...] = ("to", "own", "payload")) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], list(names))
 
 
-def _unpack_all(chunks) -> tuple[np.ndarray, ...]:
-    """The rows (class key, size, token, count) of several packed chunks."""
-    got = [_unpack(x) for x in chunks]
-    df = [x[4] for x in got]
-    return tuple(np.concatenate(x) for x in ([k[o] for k, _, o, _, _ in got], [n[o] for _, n, o, _, _ in got], [t for _, _, _, t, _ in got], df))
+PACKED = "to long, own boolean, payload binary"
 
 
-def _flush(keys: list, sets: list, buckets: int):
-    """Packed chunks by bucket of the tokens; each class of the chunk once."""
-    key, first = np.unique(np.array(keys, np.int64), return_index=True)
-    sets = [sets[i] for i in first.tolist()]
+def _flush(chunk: int, docs: list, keys: list, sets: list, buckets: int, share: int) -> pa.RecordBatch:
+    """A chunk's rows: for each bucket its tokens, and for the chunk itself its documents, the sizes of its classes and its
+    frequent tokens. docs: (doc_id, n, place in keys or -1); keys: pairs of keys; sets: the tokens of each."""
     n = np.array([len(s) for s in sets], np.int64)
-    tok = np.concatenate(sets)
+    tok = np.concatenate([*sets, np.empty(0, _U64)])
     of = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(tok, kind="stable")
-    tok, of = tok[order], of[order]
-    to = (tok.astype(np.float64) * (buckets / 2**48)).astype(np.int64)
-    ends = np.searchsorted(to, np.arange(buckets), side="right")
-    a = 0
-    for k, b in enumerate(ends.tolist()):
-        if b > a:
-            yield k, _pack(key, n, of[a:b], tok[a:b])
-        a = b
-
-
-def _rows(out: list, first: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], [first, "payload"])
+    run = _runs(tok[order])
+    many = np.zeros(len(tok), bool)
+    many[order] = np.repeat(np.diff(run) >= share, np.diff(run))
+    often = tok[order][run[:-1]][np.diff(run) >= share]
+    out = []
+    place = lambda t: (t.astype(np.float64) * (buckets / 2**48)).astype(np.int64)
+    t, o = tok[~many], of[~many]
+    to = place(t)
+    order = np.argsort(to, kind="stable")
+    t, o, to = t[order], o[order], to[order]
+    ends = np.searchsorted(to, np.arange(buckets + 1))
+    hot = np.searchsorted(place(often), np.arange(buckets + 1))
+    for k in np.flatnonzero((np.diff(ends) > 0) | (np.diff(hot) > 0)).tolist():
+        a, b, c, d = ends[k], ends[k + 1], hot[k], hot[k + 1]
+        step = _steps(o[a:b])
+        out.append((k, False, _pack(np.array([chunk, step.itemsize]), step.view(np.uint8), *_halves(t[a:b]), *_halves(often[c:d]))))
+    ids = np.array([d[0] or 0 for d in docs], np.int64)
+    known = np.array([d[0] is not None for d in docs], np.uint8)
+    own = _pack(np.array([chunk]), ids, known, np.array([d[1] for d in docs], np.int64), np.array([d[2] for d in docs], np.int32), np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64), n, of[many].astype(np.uint16), *_halves(tok[many]))
+    out.append((-1 - chunk % buckets, True, own))
+    return _rows(out)
+
+
+_OWN = (np.int64, np.int64, np.uint8, np.int64, np.int32, np.int64, np.int64, np.int64, np.uint16, np.uint32, np.uint16)
 
 
 def token_chunks(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, payload): the tokens of all classes, packed."""
+    """PACKED rows of all chunks: tokens to their buckets (to >= 0), and what a chunk keeps (own)."""
+    share = OFTEN
 
     def run(batches):
-        keys: list = []
+        part, k = TaskContext.get().partitionId(), 0
+        rows: list = []
+        at: dict = {}
         sets: list = []
         held = 0
         for b in batches:
             got = _sets(b)
-            for k, s in zip(_keys(got).view(np.int64).tolist(), got, strict=True):
-                if len(s):
-                    keys.append(k)
+            pairs = list(zip(*[x.tolist() for x in _keys(got)], strict=True))
+            for i, s, pair in zip(b.column(0).to_pylist(), got, pairs, strict=True):
+                if len(s) and pair not in at:
+                    at[pair] = len(at)
                     sets.append(s)
                     held += len(s)
-            if held >= CHUNK_TOKENS:
-                yield _rows(list(_flush(keys, sets, buckets)), "bucket")
-                keys, sets, held = [], [], 0
-        if keys:
-            yield _rows(list(_flush(keys, sets, buckets)), "bucket")
+                rows.append((i, len(s), at[pair] if len(s) else -1))
+                if held >= CHUNK_TOKENS or len(at) >= CHUNK_CLASSES or len(rows) >= 4 * CHUNK_CLASSES:
+                    yield _flush((part << 24) + k, rows, list(at), sets, buckets, share)
+                    rows, at, sets, held, k = [], {}, [], 0, k + 1
+        if rows:
+            yield _flush((part << 24) + k, rows, list(at), sets, buckets, share)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
-def shared_tokens(chunks: DataFrame, groups: int) -> DataFrame:
-    """(grp, payload): for groups of classes the tokens that two or more classes have, with the number of classes."""
+def shared_tokens(chunks: DataFrame) -> DataFrame:
+    """PACKED rows for chunks (to): what they keep, and the tokens that two or more classes have, with their number."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, n, tok, _ = _unpack_all(t.column("payload").to_pylist())
-        order = np.lexsort((key, tok))
-        key, n, tok = key[order], n[order], tok[order]
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-        key, n, tok = key[new], n[new], tok[new]
-        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        df = np.diff(np.concatenate([start, [len(tok)]]))
-        df = np.repeat(df, df)
-        key, n, tok, df = (x[df > 1] for x in (key, n, tok, df))
-        to = (common.mix(key.view(_U64)) % _U64(groups)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(groups), side="right").tolist()
-        out, a = [], 0
-        for g, b in enumerate(ends):
-            if b > a:
-                k = order[a:b]
-                classes, first, of = np.unique(key[k], return_index=True, return_inverse=True)
-                out.append((g, _pack(classes, n[k][first], of, tok[k], df[k])))
-            a = b
-        return pa.Table.from_batches([_rows(out, "grp")])
-
-    return chunks.groupBy("bucket").applyInArrow(run, "grp int, payload binary")
+        if t.column("own")[0].as_py():
+            to = [int(_unpack(x, *_OWN)[0][0]) for x in t.column("payload").to_pylist()]
+            return pa.table([pa.array(to, pa.int64()), t.column("own"), t.column("payload")], t.column_names)
+        ids, ofs, toks, hots = [], [], [], []
+        for x in t.column("payload").to_pylist():
+            (chunk, wide), step, low, high, hl, hh = _unpack(x, np.int64, np.uint8, np.uint32, np.uint16, np.uint32, np.uint16)
+            ids.append(int(chunk))
+            ofs.append(np.cumsum(step.view(np.uint8 if wide == 1 else np.uint16), dtype=np.int64))
+            toks.append(_whole(low, high))
+            hots.append(_whole(hl, hh))
+        size = np.array([len(x) for x in toks], np.int64)
+        tok, hot = np.concatenate(toks), np.unique(np.concatenate(hots))
+        order = np.argsort(tok, kind="stable")
+        run_ = _runs(tok[order])
+        count = np.empty(len(tok), np.int64)
+        count[order] = np.repeat(np.diff(run_), np.diff(run_))
+        if len(hot) and len(tok):
+            at = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
+            count[hot[at] == tok] = FREQUENT
+        good = count > 1
+        edge = np.concatenate([[0], np.cumsum(size)])
+        out = []
+        for k, chunk in enumerate(ids):
+            g = good[edge[k] : edge[k + 1]]
+            if g.any():
+                x = tok[edge[k] : edge[k + 1]][g]
+                out.append((chunk, False, _pack(ofs[k][g].astype(np.uint16), *_halves(x), np.minimum(count[edge[k] : edge[k + 1]][g], FREQUENT).astype(np.uint16))))
+        return pa.Table.from_batches([_rows(out)])
+
+    return chunks.groupBy("to").applyInArrow(run, PACKED)
+
+
+def documents(shared: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, cls) of every row; a row without words has no class. The two keys name its set."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                (chunk,), ids, known, n, of, k1, k2, *_ = _unpack(x, *_OWN)
+                none = of < 0
+                k1, k2 = (np.append(k, 0)[of] for k in (k1, k2))
+                cls = (int(chunk) << 16) + of.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(n), *[pa.array(k, mask=none) for k in (k1, k2, cls)]], ["doc_id", "n_shingles", "k1", "k2", "cls"])
+
+    return shared.filter("own").select("payload").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, cls long")
 
 
 def survivors(shared: DataFrame) -> DataFrame:
@@ -194,17 +240,27 @@ def survivors(shared: DataFrame) -> DataFrame:
     the shared ones of their prefix, and a bitmap of the shared ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, n, tok, df = _unpack_all(t.column("payload").to_pylist())
-        order = np.lexsort((tok, df, key))
-        key, n, tok = key[order], n[order], tok[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        held = np.diff(np.concatenate([start, [len(key)]]))
-        size = n[start]
+        ofs, toks, dfs = [], [], []
+        for own, x in zip(t.column("own").to_pylist(), t.column("payload").to_pylist(), strict=True):
+            if own:
+                (chunk,), *_, n, of, low, high = _unpack(x, *_OWN)
+                df = np.full(len(of), FREQUENT, np.uint16)
+            else:
+                of, low, high, df = _unpack(x, np.uint16, np.uint32, np.uint16, np.uint16)
+            ofs.append(of)
+            toks.append(_whole(low, high))
+            dfs.append(df)
+        of, tok, df = np.concatenate(ofs), np.concatenate(toks), np.concatenate(dfs)
+        order = np.lexsort((tok, df, of))
+        of, tok = of[order], tok[order]
+        start = _runs(of)
+        start, held = start[:-1], np.diff(start)
+        size = n[of[start]]
         more = size - least_own(size) + 1 - (size - held)  # the prefix without tokens that nobody shares
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for a, h, s, m in zip(start.tolist(), held.tolist(), size.tolist(), more.tolist(), strict=True):
             if m > 0:
-                out[0].append(int(key[a]))
+                out[0].append((int(chunk) << 16) + int(of[a]))
                 out[1].append(s)
                 out[2].append(h)
                 out[3].append(np.sort(tok[a : a + h]).tobytes())
@@ -212,7 +268,7 @@ def survivors(shared: DataFrame) -> DataFrame:
                 out[5].append(bitmap(tok[a : a + h], bits_for(s)).tobytes())
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.binary())], ["cls", "n", "held", "tokens", "prefix", "bits"])
 
-    return shared.groupBy("grp").applyInArrow(run, "cls long, n long, held long, tokens binary, prefix array<long>, bits binary")
+    return shared.groupBy("to").applyInArrow(run, "cls long, n long, held long, tokens binary, prefix array<long>, bits binary")
 
 
 def bits_for(n: int) -> int:
@@ -238,23 +294,31 @@ def least_common(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def bound(x: np.ndarray, y: np.ndarray, hx: int, hy: int) -> int:
+    """At most so many tokens have two sets of hx and hy tokens in common, by their bitmaps."""
+    words = min(len(x), len(y))
+    x, y = fold(x, words), fold(y, words)
+    return min(hx - int(np.bitwise_count(x & ~y).sum()), hy - int(np.bitwise_count(y & ~x).sum()))
+
+
 def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of classes that link: the bound first, then the exact intersection of sorted arrays."""
-    one = live.select("cls", "n", "tokens")
-    both = pairs.join(one.withColumnsRenamed({"cls": "u", "n": "nu", "tokens": "tu"}), "u").join(one.withColumnsRenamed({"cls": "v", "n": "nv", "tokens": "tv"}), "v")
+    """Those pairs (u, v) of classes that link: the bound by bitmaps first, then the exact intersection of sorted arrays."""
+    one = live.select("cls", "n", "bits", "tokens")
+    both = pairs.join(one.withColumnsRenamed({"cls": "u", "n": "nu", "bits": "bu", "tokens": "tu"}), "u").join(one.withColumnsRenamed({"cls": "v", "n": "nv", "bits": "bv", "tokens": "tv"}), "v")
 
     def run(batches):
         for b in batches:
             u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-            nu, nv = b.column(2).to_numpy(), b.column(4).to_numpy()
+            nu, nv = b.column(2).to_numpy(), b.column(5).to_numpy()
             keep = []
             for k in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[k].as_buffer(), _U64) for c in (3, 5))
-                if min(len(x), len(y)) >= least_common(int(nu[k]), int(nv[k])) and linked(len(np.intersect1d(x, y, assume_unique=True)), int(nu[k]), int(nv[k])):
+                p, x, q, y = (np.frombuffer(b.column(c)[k].as_buffer(), _U64) for c in (3, 4, 6, 7))
+                need = least_common(int(nu[k]), int(nv[k]))
+                if min(len(x), len(y)) >= need and bound(p, q, len(x), len(y)) >= need and linked(len(np.intersect1d(x, y, assume_unique=True)), int(nu[k]), int(nv[k])):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
-    return both.select("u", "v", "nu", "tu", "nv", "tv").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "nu", "bu", "tu", "nv", "bv", "tv").mapInArrow(run, "u long, v long")
 
 
 def tiles(live: DataFrame) -> DataFrame:
@@ -268,11 +332,15 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.filter(f"u <> v and {DEN} * least(nu, nv) >= {NUM} * greatest(nu, nv)").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each class of a tile with the tile's centre, an own class picked by hash."""
+def centres(rows: DataFrame) -> DataFrame:
+    """(token, tile, k, c): tiles of two classes or more, how many they are, and an own class picked by hash."""
     pick = F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("v"), F.col("n").alias("nv"))
-    centre = rows.groupBy("token", "tile").agg(F.min(F.when(F.col("own"), pick)).alias("c"), F.count("*").alias("k")).filter("k > 1 and c is not null")
-    return _sized(rows.join(centre, ["token", "tile"]).select(F.col("cls").alias("u"), F.col("n").alias("nu"), "c.v", "c.nv"))
+    return rows.groupBy("token", "tile").agg(F.min(F.when(F.col("own"), pick)).alias("c"), F.count("*").alias("k")).filter("k > 1 and c is not null")
+
+
+def star_pairs(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """Each class of a tile with the tile's centre."""
+    return _sized(common.join_hot(rows, centre, ["token", "tile"], "k").select(F.col("cls").alias("u"), F.col("n").alias("nu"), "c.v", "c.nv"))
 
 
 def near(n, held, comp, own, side, maps) -> tuple[np.ndarray, np.ndarray]:
@@ -307,13 +375,18 @@ def near(n, held, comp, own, side, maps) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def open_pairs(rows: DataFrame, label: DataFrame, live: DataFrame) -> DataFrame:
-    """Pairs of a tile whose components differ and whose bitmaps leave a link open. Only tiles of several components have
-    any. A tile is compared in one task, as bit matrices, and gives out no other pair; one of more than TILE_ROWS classes
-    is split into blocks by hash, and each pair of blocks is compared for itself."""
-    rows = rows.join(label.withColumnsRenamed({"node": "cls", "component": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = rows.groupBy("token", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("token", "tile", F.ceil(F.col("k") / TILE_ROWS).cast("int").alias("nb"))
-    rows = rows.join(mixed, ["token", "tile"]).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+def mixed_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows of tiles with several components, with their component and the number of blocks of their tile."""
+    rows = common.cut(rows.join(label.withColumnsRenamed({"node": "cls", "component": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    mixed = common.cut(rows.groupBy("token", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("token", "tile", "k", F.ceil(F.col("k") / TILE_ROWS).cast("int").alias("nb")))
+    return common.join_hot(rows, mixed, ["token", "tile"], "k").drop("k")
+
+
+def open_pairs(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """Pairs of a tile (rows of mixed_rows) whose components differ and whose bitmaps leave a link open. A tile is compared
+    in one task, as bit matrices, and gives out no other pair; one of more than TILE_ROWS classes is split into blocks by
+    hash, and each pair of blocks is compared for itself."""
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     # block pairs (i, j) with i <= j: in (b, j) the class is on side 0, in (i, b) on side 1
     own = F.transform(F.sequence(F.col("b"), F.col("nb") - 1), lambda j: F.struct(F.col("b").alias("bi"), j.alias("bj"), F.lit(0).alias("side")))
     other = F.when(F.col("b") > 0, F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.struct(i.alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<bi:int,bj:int,side:int>>"))
@@ -353,51 +426,65 @@ def open_pairs(rows: DataFrame, label: DataFrame, live: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of what has been written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between classes (u, v), enough of them to connect whatever links connect; and component labels (node, component)."""
+def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (see documents()); links between classes (u, v), enough of them to connect whatever links connect; and
+    component labels (node, component)."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = common.cut(shared_tokens(token_chunks(docs, buckets), buckets))
-    _free(spark)
-    live = common.cut(survivors(shared))
-    rows = common.cut(tiles(live))
-    found = common.cut(verify(star_pairs(rows), live))
-    _free(spark)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(chars) // BUCKET_CHARS))
+    shared = common.cut(shared_tokens(token_chunks(docs, buckets)))
+    every, live = common.cut(documents(shared)), common.cut(survivors(shared))
+    common.free(shared)
+    sets = every.filter("cls is not null").select("k1", "k2", "cls").distinct()
+    first = sets.groupBy("k1", "k2").agg(F.min("cls").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    copies = sets.join(first, ["k1", "k2"]).filter("cls <> first").select("cls")  # equal sets of other chunks
+    rows = common.cut(tiles(live.select("cls", "n", "prefix").join(copies, "cls", "left_anti")))
+    centre = common.cut(centres(rows))
+    found = [common.cut(verify(star_pairs(rows, centre), live))]
+    common.free(centre)
     # pairs that link mostly share many tiles: what an eighth of the tiles connects, the others needn't compare again
     eighth = F.pmod(F.xxhash64("token"), F.lit(8)) == 0
-    for some in (rows.filter(eighth), rows.filter(~eighth)):
-        got = common.cut(verify(open_pairs(some, connected_components(found), live), live))
-        found = found.unionByName(got)
-        _free(spark)
-    return found, connected_components(found)
+    for some in (eighth, ~eighth):
+        label = common.cut(connected_components(_all(found)))
+        mixed = common.cut(mixed_rows(rows.filter(some), label))
+        found.append(common.cut(verify(open_pairs(mixed, live), live)))
+        common.free(label, mixed)
+    label = common.cut(connected_components(_all(found)))
+    common.free(rows, live)
+    return every, _all(found), label
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs (doc_id, text)."""
     common.prepare(docs.sparkSession)
-    keyed = common.cut(set_keys(docs))
-    _, label = class_links(docs)
-    rows = keyed.join(label.withColumnsRenamed({"node": "set_key", "component": "root"}), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    rows = common.cut(rows.select("doc_id", "n_shingles", "root"))
-    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    every, _, label = class_links(docs)
+    sets = every.filter("cls is not null").groupBy("k1", "k2").agg(F.min("cls").alias("cls"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    sets = common.cut(sets.join(label.withColumnsRenamed({"node": "cls", "component": "root"}), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    roots = common.cut(sets.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")))
+    sets = common.cut(common.join_hot(sets, roots, ["root"], "sets").select("k1", "k2", "copies", "component_id"))
+    full = common.join_hot(every.filter("cls is not null"), sets, ["k1", "k2"], "copies").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.unionByName(every.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
     """One row of each group of docs (any columns beside doc_id and text): that of least doc_id, and of several with it the
     first as they are stored. Each row is a document of its own, by a key written once with the rows; rows without a
     doc_id come last in their group, and stay where no other row is linked to them."""
-    keyed = common.cut(docs.withColumn("row__", F.monotonically_increasing_id()))
-    groups = components(keyed.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), F.col("component_id").alias("group__"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
-    first = keyed.select("row__", "doc_id").join(groups, "row__").groupBy("group__").agg(F.min(place).alias("first")).select(F.col("first.row__").alias("row__"))
-    return keyed.join(first, "row__", "left_semi").select(*docs.columns)
+    key, group = common.spare("row__", docs), common.spare("group__", docs)
+    keyed = common.cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = common.cut(components(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("component_id").alias(group)))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)
+    first = keyed.select(key, "doc_id").join(groups, key).groupBy(group).agg(F.min(place).alias("first")).select(F.col(f"first.{key}").alias(key))
+    # rows that go are fewer than rows that stay
+    gone = common.cut(groups.select(key).join(first, key, "left_anti"))
+    return side.without(keyed, gone, key)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
