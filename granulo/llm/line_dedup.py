@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import common
+from . import common, side
 
 MIN_RUN_WORDS = 20
 
@@ -39,8 +40,9 @@ _NOT_NL = np.ones(256, bool)
 _NOT_NL[10] = False
 
 
-def sequences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with words: their hash, words and number among all \\n-split lines of their row; and per row how many came before."""
+def sequences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lines with words: their two hashes, words and number among all \\n-split lines of their row; and per row how many came
+    before."""
     s, e, _ = common.spans(buf, offs, _NOT_NL)
     ws, we, _ = common.spans(buf, offs)
     first, last = np.searchsorted(ws, s), np.searchsorted(ws, e)
@@ -49,7 +51,7 @@ def sequences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     s, e = ws[first], we[last - 1]  # without space at either end
     breaks = np.concatenate([[0], np.cumsum(buf == 10)])
     row = np.searchsorted(offs, s, side="right") - 1
-    return common.span_hashes(buf, s, e, fold=False), n, breaks[s] - breaks[offs[row]], np.searchsorted(s, offs)
+    return common.span_hashes(buf, s, e, fold=False), common.span_hashes(buf, s, e, other=True), n, breaks[s] - breaks[offs[row]], np.searchsorted(s, offs)
 
 
 def shortest(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,54 +69,85 @@ def shortest(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, row__, k, h, n): the lines with words of each row, numbered from 0; h names the line, n counts its words."""
+    """(doc_id, row, k, h, g, n) of docs (doc_id, text, row): the lines with words of each row, numbered from 0; h and g name
+    the line in 128 bits, n counts its words."""
 
     def run(batches):
         for b in batches:
             buf, offs = common.text_bytes(b.column(1))
-            h, n, _, at = sequences(buf, offs)
+            h, g, n, _, at = sequences(buf, offs)
             size = np.diff(at)
             k = np.arange(len(h)) - np.repeat(at[:-1], size)
             of = pa.array(np.repeat(np.arange(b.num_rows), size))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(2).take(of), pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "row__", "k", "h", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(2).take(of), pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "row", "k", "h", "g", "n"])
 
-    return docs.select("doc_id", "text", "row__").mapInArrow(run, "doc_id long, row__ long, k int, h long, n int")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, k int, h long, g long, n int")
 
 
 def stretches(lines: DataFrame, least: int) -> DataFrame:
-    """(doc_id, row__, seg, k, h, n): maximal stretches of lines that occur twice or more, of at least `least` words."""
-    twice = lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    rows = lines.join(twice, "h")
-    rows = rows.withColumn("seg", F.col("k") - F.row_number().over(Window.partitionBy("row__").orderBy("k")))
-    enough = F.sum("n").over(Window.partitionBy("row__", "seg"))
-    return rows.withColumn("words", enough).filter(F.col("words") >= least).select("doc_id", "row__", "seg", "k", "h", "n")
+    """(doc_id, row, seg, k, n, r0): maximal stretches of lines that occur twice or more, of at least `least` words. r0 is
+    the place of the line's first copy among all such lines sorted by their names."""
+    count = common.cut(lines.groupBy("h", "g").agg(F.count("*").alias("c")).filter("c > 1").withColumn("part", F.shiftright("h", 54)))
+    parts = count.groupBy("part").agg(F.sum("c").alias("pc"))  # at most 1024 rows
+    parts = parts.withColumn("base", F.sum("pc").over(Window.orderBy("part")) - F.col("pc")).drop("pc")
+    place = F.col("base") + F.sum("c").over(Window.partitionBy("part").orderBy("h", "g")) - F.col("c")
+    first = common.cut(count.join(F.broadcast(parts), "part").select("h", "g", "c", place.alias("r0")))
+    rows = common.join_hot(lines, first, ["h", "g"], "c").select("doc_id", "row", "k", "n", "r0")
+    rows = rows.withColumn("seg", F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k")))
+    enough = F.sum("n").over(Window.partitionBy("row", "seg"))
+    out = common.cut(rows.withColumn("words", enough).filter(F.col("words") >= least).drop("words"))
+    common.free(count, first)
+    return out
+
+
+#: Parts into which the followers of a frequent beginning are dealt for ordering.
+CELLS = 1024
+
+
+def placed(pairs: DataFrame, r: str, up: str) -> DataFrame:
+    """pairs (r, second, c) with the place `up` of their first copy among all rows sorted by (r, second): r, which is the
+    place of the first with that r, and those before it within r. A beginning with many different followers is ordered in
+    cells, whose sums are carried on, as no other task could hold it."""
+    size = pairs.groupBy(r).agg(F.count("*").alias("m"))
+    total, top = pairs.agg(F.count("*"), F.max("second")).first()
+    limit = max(common.HOT_ROWS, total // common.HOT_KEYS)
+    before = F.sum("c").over(Window.partitionBy(r).orderBy("second")) - F.col("c")
+    few = [r, "second", "c", (F.col(r) + before).alias(up)]
+    if (size.agg(F.max("m")).first()[0] or 0) <= limit:
+        return pairs.select(*few)
+    hot = F.broadcast(size.filter(F.col("m") > limit).select(r))  # by arithmetic no more than HOT_KEYS
+    many = pairs.join(hot, r).withColumn("cell", F.floor((F.col("second") + 1) * CELLS / ((top or 0) + 2)).cast("int"))
+    cells = many.groupBy(r, "cell").agg(F.sum("c").alias("base")).withColumn("base", F.sum("base").over(Window.partitionBy(r).orderBy("cell")) - F.col("base"))
+    inside = F.sum("c").over(Window.partitionBy(r, "cell").orderBy("second")) - F.col("c")
+    many = many.join(cells, [r, "cell"]).select(r, "second", "c", (F.col(r) + F.col("base") + inside).alias(up))
+    return pairs.join(hot, r, "left_anti").select(*few).unionByName(many)
 
 
 def ranked(rows: DataFrame, levels: int) -> DataFrame:
-    """rows with r0, r1, ...: places of suffixes sorted by their first 1, 2, 4, ... lines; equal ones share the first
+    """rows (with r0) and r1, r2, ...: places of suffixes sorted by their first 2, 4, ... lines; equal ones share the first
     place. A suffix that ends sooner sorts first. Groups are aggregated before they are ordered."""
-    count = rows.groupBy("h").agg(F.count("*").alias("c")).withColumn("part", F.shiftright("h", 54))
-    parts = count.groupBy("part").agg(F.sum("c").alias("pc"))  # at most 1024 rows
-    parts = parts.withColumn("base", F.sum("pc").over(Window.orderBy("part")) - F.col("pc")).drop("pc")
-    first = count.withColumn("in", F.sum("c").over(Window.partitionBy("part").orderBy("h")) - F.col("c")).join(F.broadcast(parts), "part").select("h", (F.col("base") + F.col("in")).alias("r0"))
-    rows = common.cut(rows.join(first, "h").drop("h"))
     for j in range(levels - 1):
         r, up = f"r{j}", f"r{j + 1}"
-        ahead = F.coalesce(F.lead(r, 1 << j).over(Window.partitionBy("row__", "seg").orderBy("k")), F.lit(-1))
-        rows = rows.withColumn("second", ahead)
-        pairs = rows.groupBy(r, "second").agg(F.count("*").alias("c"))
-        pairs = pairs.withColumn(up, F.col(r) + F.sum("c").over(Window.partitionBy(r).orderBy("second")) - F.col("c")).drop("c")
-        rows = common.cut(rows.join(pairs, [r, "second"]).drop("second"))
+        ahead = F.coalesce(F.lead(r, 1 << j).over(Window.partitionBy("row", "seg").orderBy("k")), F.lit(-1))
+        paired = common.cut(rows.withColumn("second", ahead))
+        pairs = common.cut(paired.groupBy(r, "second").agg(F.count("*").alias("c")))
+        places = common.cut(placed(pairs, r, up))
+        ranked_ = common.cut(common.join_hot(paired, places, [r, "second"], "c").drop("second", "c"))
+        common.free(rows, paired, pairs, places)
+        rows = ranked_
     return rows
 
 
 def windows(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
-    """(length, head, tail, doc_id, row__, start): the shortest qualifying sequences in stretches, named by their length and the
+    """(length, head, tail, doc_id, row, start): the shortest qualifying sequences in stretches, named by their length and the
     ranks of the two longest powers of two at their ends."""
     levels = max(1, least).bit_length()
-    rows = ranked(stretches(common.cut(line_ids(docs)), least), levels)
+    lines = common.cut(line_ids(docs))
+    found = stretches(lines, least)
+    common.free(lines)
+    rows = ranked(found, levels)
     fields = ["k", "n", *[f"r{j}" for j in range(levels)]]
-    packed = rows.groupBy("row__", "seg").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
+    packed = rows.groupBy("row", "seg").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct(*fields))).alias("x"))
 
     def run(batches):
         for b in batches:
@@ -132,65 +165,85 @@ def windows(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
             level = np.floor(np.log2(m)).astype(np.int64)
             ranks = np.stack([col[f"r{j}"] for j in range(levels)])
             head, tail = ranks[level, s], ranks[level, s + m - (1 << level)]
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(head), pa.array(tail), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(col["k"][s], pa.int32())], ["length", "head", "tail", "doc_id", "row__", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(head), pa.array(tail), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(col["k"][s], pa.int32())], ["length", "head", "tail", "doc_id", "row", "start"])
 
-    return packed.select("doc_id", "row__", "x").mapInArrow(run, "length int, head long, tail long, doc_id long, row__ long, start int")
+    return packed.select("doc_id", "row", "x").mapInArrow(run, "length int, head long, tail long, doc_id long, row long, start int")
 
 
 def later_copies(w: DataFrame) -> DataFrame:
-    """Sequences of w that occur at an earlier place."""
-    name, place = ["length", "head", "tail"], F.struct("doc_id", "row__", "start")
-    first = w.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return w.join(first, name).filter(place > F.col("first")).select("row__", "start", "length")
+    """(doc_id, row, start, length, first) of sequences of w that occur at an earlier place; first: doc_id, row and start of
+    the earliest one."""
+    name, place = ["length", "head", "tail"], F.struct("doc_id", "row", "start")
+    first = common.cut(w.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1"))
+    return common.join_hot(w, first, name, "c").filter(place > F.col("first")).select("doc_id", "row", "start", "length", "first")
 
 
-def dedup(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
-    """docs with later copies deleted from text, and n_lines__ and n_deleted__ (lines with words)."""
-    common.prepare(docs.sparkSession)
-    keyed = common.cut(docs.withColumn("row__", F.monotonically_increasing_id()))
+def found_copies(keyed: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
+    """later_copies() of keyed (doc_id, text, row), at rest."""
     w = common.cut(windows(keyed, least))
-    dead = later_copies(w).groupBy("row__").agg(F.collect_set(F.struct("start", "length")).alias("dead__"))
-    joined = keyed.join(dead, "row__", "left").drop("row__")
+    out = common.cut(later_copies(w))
+    common.free(w)
+    return out
+
+
+def maximal_runs(keyed: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
+    """(doc_id, row, start, lines, of_doc_id, of_row, of_start): the runs of lines that are later copies, joined for as long as
+    the earlier copy goes on beside them; lines with words are counted, from 0. keyed: doc_id, text, row."""
+    c = found_copies(keyed, least).select("doc_id", "row", "start", (F.col("start") + F.col("length")).alias("end"), F.col("first.doc_id").alias("of_doc_id"), F.col("first.row").alias("of_row"), (F.col("start") - F.col("first.start")).alias("shift"))
+    same = Window.partitionBy("row", "of_row", "shift").orderBy("start", "end")
+    c = c.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    c = c.withColumn("run", F.sum("new").over(same))
+    out = c.groupBy("doc_id", "row", "of_doc_id", "of_row", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return out.select("doc_id", "row", "start", (F.col("end") - F.col("start")).alias("lines"), "of_doc_id", "of_row", (F.col("start") - F.col("shift")).alias("of_start"))
+
+
+def dedup(docs: DataFrame, least: int = MIN_RUN_WORDS, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """docs with later copies deleted from text, and two counts of lines with words: all, and those deleted. Their names must
+    not be columns of docs. Texts are not shuffled: each task looks up the lines that go from its own rows."""
+    common.prepare(docs.sparkSession)
+    key = common.spare("row__", docs)
+    keyed = common.cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    dead = side.deal(found_copies(keyed.select("doc_id", "text", F.col(key).alias("row")), least).select("row", "start", "length").distinct(), "row")
     columns, at = list(docs.columns), docs.columns.index("text")
 
     def run(batches):
+        those = side.Side(dead, "row")
         for b in batches:
-            texts = b.column(at)
+            texts, keys = b.column(at), b.column(len(columns)).to_numpy()
             buf, offs = common.text_bytes(texts)
-            _, _, line, first = sequences(buf, offs)
-            counts, gone = np.diff(first), np.zeros(b.num_rows, np.int64)
-            dead = b.column(len(columns))
-            new = {}
-            for k in np.flatnonzero(pc.is_valid(dead).to_numpy(zero_copy_only=False)).tolist():
-                mine = np.zeros(int(counts[k]) + 1, np.int64)
-                for x in dead[k].as_py():
-                    mine[x["start"]] += 1
-                    mine[x["start"] + x["length"]] -= 1
-                out = np.cumsum(mine)[:-1] > 0
-                gone[k] = out.sum()
-                drop = set(line[first[k] : first[k + 1]][out].tolist())
-                new[k] = "\n".join(x for i, x in enumerate(texts[k].as_py().split("\n")) if i not in drop)
-            if new:
+            *_, line, first = sequences(buf, offs)
+            size, gone = np.diff(first), np.zeros(b.num_rows, np.int64)
+            t = those.rows(keys)
+            if t is not None and t.num_rows:
+                row = {k: i for i, k in enumerate(keys.tolist())}
+                mine, new = np.zeros(len(line) + b.num_rows + 1, np.int64), {}
+                edge = first[:-1] + np.arange(b.num_rows)  # a place behind each row's lines ends what goes to its end
+                of = np.array([row.get(k, -1) for k in t.column("row").to_pylist()])
+                start, length = (t.column(c).to_numpy()[of >= 0] for c in ("start", "length"))
+                of = of[of >= 0]
+                np.add.at(mine, edge[of] + start, 1)
+                np.add.at(mine, edge[of] + start + length, -1)
+                out = np.cumsum(mine) > 0
+                for k in np.unique(of).tolist():
+                    dropped = out[edge[k] : edge[k] + size[k]]
+                    gone[k] = dropped.sum()
+                    drop = set(line[first[k] : first[k + 1]][dropped].tolist())
+                    new[k] = "\n".join(x for i, x in enumerate(texts[k].as_py().split("\n")) if i not in drop)
                 texts = pa.array([new.get(k, x) for k, x in enumerate(texts.to_pylist())], texts.type)
             cols = [texts if k == at else b.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array(gone)], [*columns, "n_lines__", "n_deleted__"])
-
-    return joined.mapInArrow(run, _more(docs))
-
-
-def _more(docs: DataFrame):
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(gone)], [*columns, *counts])
 
-    return T.StructType([*docs.schema.fields, T.StructField("n_lines__", T.LongType()), T.StructField("n_deleted__", T.LongType())])
+    return keyed.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]]))
 
 
 def clean(docs: DataFrame, least: int = MIN_RUN_WORDS) -> DataFrame:
     """The columns of docs; documents that consist of later copies alone go, as they are copies."""
-    return dedup(docs, least).filter("n_deleted__ = 0 or n_deleted__ < n_lines__").select(*docs.columns)
+    counts = common.spare("n_lines", docs), common.spare("n_deleted", docs)
+    return dedup(docs, least, counts).filter(f"{counts[1]} = 0 or {counts[1]} < {counts[0]}").drop(*counts)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_deleted__").alias("n_deleted"), "text")
+    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 #: Every run of enough words, its first place, and the lines of its later copies: the definition itself.
