@@ -1,21 +1,26 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Four fixed forms (email, ip, card, phone) give the seeds. Every token with a digit or an at sign is a candidate: its
-pattern is the word before it and its own shape, its instance the token itself. Candidates that a seed covers make the
-first scores; then patterns and instances score each other over their bipartite graph: a pattern is as sure as its
-occurrences' instances on average, an instance as sure as its surest well-supported pattern. Candidates that no seed
-covers, under a pattern of high confidence, are found identifiers of kind `id`.
+Seed entities are what four fixed forms (email, ip, card, phone) match, and secrets in their published forms (access key
+numbers, values assigned to names like password). Every token with a digit or an at sign is a candidate: it is an occurrence
+of an instance, the token itself, under three lexical patterns: the word before it and its shape, its shape and the word
+behind it, and its own beginning and shape. Patterns and instances score each other over the graph of their occurrences, in
+rounds: a pattern is as sure as its instances on average; an instance is as sure as the share of its occurrences that seeds
+cover, or as the surest *other* pattern that it stands under, so no pattern vouches for itself. A pattern counts from
+MIN_SUPPORT occurrences on and with MIN_KNOWN different instances that are believed, be it for seeds or for what other
+patterns found. Candidates that no seed covers, under a pattern of MIN_CONFIDENCE, are found identifiers of kind `id`.
 
 Regular expressions say where a match is only through what lies between matches: split() with the same expression gives
-the gaps, and running lengths of gaps and matches give code points.
+the gaps. The pass over the texts keeps lengths of gaps and matches; running sums over them, in a window for each text, give
+code points. Time grows with a text's length, however many matches it has.
 
-Defined results: a null or empty text has no spans, and the hash of nothing; equal rows are judged each for itself, and
-count in the statistics as often as they occur; rows need a doc_id of their own; other columns are ignored.
+Defined results: a null or empty text has no spans, and the hash of nothing; rows are judged each for itself, repeated
+doc_ids and null ones too, and count in the statistics as often as they occur; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,27 +35,18 @@ FORMS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: Other seeds: numbers of access keys, and values with a digit that are assigned to a name which says that they are secret.
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[\"']?(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{8,}+)"
+SECRET_WORDS = r"(?i)AKIA|passw|secret|token|api[_-]?key"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+"
+#: Places of kinds in spans; a candidate is none yet.
+NAMES = (*KINDS, "secret", "id")
+SECRET_KIND, ID_KIND, CANDIDATE_KIND = len(KINDS), len(KINDS) + 1, len(KINDS) + 2
 ROUNDS = 3
-MIN_SUPPORT, MIN_SEEDS, MIN_CONFIDENCE = 3, 2, 0.8
+MIN_SUPPORT, MIN_KNOWN, MIN_CONFIDENCE, BELIEVED = 3, 2, 0.8, 0.5
+MIN_LENGTH = 5
 
-
-def located(text: Column, form: str) -> Column:
-    """An array of (start, end, text, before) for the matches of a form, in code points; before: what lies between the match before and this one."""
-
-    def place(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string,before:string>>").alias("out"))
-
-        def step(a: Column, k: Column) -> Column:
-            gap, m = F.get(x["g"], k), F.get(x["m"], k)
-            s = a["at"] + F.length(gap)
-            e = s + F.length(m)
-            return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), e.alias("end"), m.alias("text"), gap.alias("before")))).alias("out"))
-
-        ks = F.when(F.size(x["m"]) > 0, F.sequence(F.lit(0), F.size(x["m"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(ks, start, step)["out"]
-
-    return let(F.struct(F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("m"), F.split(text, form, -1).alias("g")), place)
+_MATCH = "array<struct<kind:int,k:int,gap:int,len:int,lead:int,core:int,instance:string,patterns:array<string>>>"
 
 
 def _digits(x: Column) -> Column:
@@ -75,79 +71,119 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+def shape(x: Column) -> Column:
+    """Letters as a, digits as 9, runs as one; runs of both mixed as x."""
+    flat = F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), "[0-9]+", "9")
+    return F.regexp_replace(flat, "[a9]{3,}", "x")
 
 
-def base_spans(text: Column) -> Column:
-    """Spans (start, kind's place in KINDS, end) of the four forms, sorted."""
-    def of(k: int, kind: str) -> Column:
-        may = F.contains(text, F.lit("@" if kind == "email" else "+")) if kind in ("email", "phone") else text.rlike("[0-9]")
-        good = F.filter(located(text, FORMS[kind]), lambda x: valid(kind, x["text"]))
-        spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-        return F.when(may, spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+def matches(text: Column, form: str, kind: int, one, may: Column) -> Column:
+    """_MATCH of a form's matches: length of the gap before each, its own, and what one(match, gap before, gap behind) adds or
+    null to leave it out of what is found (it still counts for the places of later ones)."""
 
-    found = [of(k, kind) for k, kind in enumerate(KINDS)]
-    return F.sort_array(F.concat(*found))
+    def all_(x: Column) -> Column:
+        return F.transform(x["m"], lambda m, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.length(F.get(x["g"], k)).alias("gap"), F.length(m).alias("len"), *one(m, F.get(x["g"], k), F.get(x["g"], k + 1))))
 
+    none = F.array().cast(_MATCH)
+    return F.when(may, let(F.struct(F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("m"), F.split(text, form, -1).alias("g")), all_).cast(_MATCH)).otherwise(none)
 
-def shape(x: Column) -> Column:
-    """Letters as a, digits as 9, runs as one; runs of both mixed as x."""
-    flat = F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.regexp_replace(flat, "[a9]{3,}", "x")
 
+def _fixed(kind: str):
+    def one(m: Column, _: Column, __: Column) -> list[Column]:
+        good = F.lit(True) if kind == "secret" else valid(kind, m)
+        return [F.lit(0).alias("lead"), F.when(good, F.length(m)).alias("core"), F.lit("").alias("instance"), F.array().cast("array<string>").alias("patterns")]
 
-def candidates(text: Column, base: Column) -> Column:
-    """(start, end, pattern, instance, seed) of tokens with a digit or an at sign, without punctuation at their ends."""
+    return one
 
-    def one(x: Column) -> Column:
-        core = F.regexp_extract(x["text"], r"^[^\p{L}0-9+(]*+(.*?)[^\p{L}0-9)]*$", 1)
-        lead = F.length(F.regexp_extract(x["text"], r"^[^\p{L}0-9+(]*+", 0))
-        s = x["start"] + lead
-        e = s + F.length(core)
-        left = F.lower(F.regexp_extract(x["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1))
-        return F.struct(s.alias("start"), e.alias("end"), F.concat_ws(" ", left, shape(core)).alias("pattern"), core.alias("instance"), F.exists(base, lambda b: (b["start"] < e) & (b["end"] > s)).alias("seed"))
 
-    kind = "array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"
-    got = F.filter(F.transform(located(text, CANDIDATE), one), lambda c: F.length(c["instance"]) >= 5)
-    return F.when(text.rlike("[0-9@]"), got.cast(kind)).otherwise(F.array().cast(kind))
+def _candidate(m: Column, before: Column, behind: Column) -> list[Column]:
+    """The token without punctuation at its ends, and its patterns."""
+    core = F.regexp_extract(m, r"^[^\p{L}0-9+(]*+(.*?)[^\p{L}0-9)]*$", 1)
+    lead = F.length(F.regexp_extract(m, r"^[^\p{L}0-9+(]*+", 0))
+    left = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1))
+    right = F.lower(F.regexp_extract(behind, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
 
+    def patterns(s: Column) -> Column:
+        return F.array(F.concat(F.lit("l "), left, F.lit(" "), s), F.concat(F.lit("r "), s, F.lit(" "), right), F.concat(F.lit("i "), F.lower(F.substring(core, 1, 4)), F.lit(" "), s))
 
-def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans) and cand (candidates) of docs (doc_id, text): the only pass over the texts."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    both = let(base_spans(t), lambda b: F.struct(b.alias("base"), candidates(t, b).alias("cand")))
-    return docs.select("doc_id", both.alias("x")).select("doc_id", "x.base", "x.cand")
+    return [lead.alias("lead"), F.when(F.length(core) >= MIN_LENGTH, F.length(core)).alias("core"), core.alias("instance"), let(shape(core), patterns).alias("patterns")]
 
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence) of patterns that may find new identifiers."""
-    occ = found.select(F.explode("cand").alias("c")).select("c.pattern", "c.instance", "c.seed")
+def extract(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a key of its own) and found (_MATCH, by kind and place) of docs (doc_id, text): the only pass over the
+    texts."""
+
+    def all_(t: Column) -> Column:
+        digit = t.rlike("[0-9]")
+        may = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+"))}
+        each = [matches(t, FORMS[kind], k, _fixed(kind), may.get(kind, digit)) for k, kind in enumerate(KINDS)]
+        each.append(matches(t, SECRET, SECRET_KIND, _fixed("secret"), digit & t.rlike(SECRET_WORDS)))
+        each.append(matches(t, CANDIDATE, CANDIDATE_KIND, _candidate, t.rlike("[0-9@]")))
+        return F.concat(*each)
+
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), let(F.coalesce(F.col("text"), F.lit("")), all_).alias("found"))
+
+
+def located(found: DataFrame) -> DataFrame:
+    """(row, kind, start, end, instance, patterns, seed): spans in code points, and candidates; seed: whether a span meets
+    the candidate."""
+    m = found.select("row", F.explode("found").alias("m")).select("row", "m.*")
+    by = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum(F.col("gap") + F.col("len")).over(by) - F.col("len") + F.col("lead")
+    at = m.withColumn("start", start.cast("int")).filter("core is not null").select("row", "kind", "start", (F.col("start") + F.col("core")).alias("end"), "instance", "patterns")
+    span = F.col("kind") != CANDIDATE_KIND
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reached, next_ = F.max(F.when(span, F.col("end"))).over(before), F.min(F.when(span, F.col("start"))).over(behind)
+    return at.withColumn("seed", (F.coalesce(reached, F.lit(0)) > F.col("start")) | F.coalesce(next_ < F.col("end"), F.lit(False)))
+
+
+def confident_patterns(cand: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, m, confidence) of patterns that may find new identifiers; cand: instance, patterns, seed. m: about how many
+    candidates stand under the pattern."""
+    occ = cand.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     edges = common.cut(occ.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds")))
-    first = edges.groupBy("instance").agg((F.sum("seeds") / F.sum("n")).alias("score"))
-    score = first
-    for _ in range(rounds):
-        pattern = edges.join(score, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"), F.sum("n").alias("support"), F.sum("seeds").alias("seeds"))
-        pattern = common.cut(pattern.filter(f"support >= {MIN_SUPPORT} and seeds >= {MIN_SEEDS}").select("pattern", "confidence"))
-        best = edges.join(pattern, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        score = first.join(best, "instance", "left").select("instance", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score"))
+    first = common.cut(edges.groupBy("instance").agg((F.sum("seeds") / F.sum("n")).alias("share"), F.count("*").alias("m")))
+    edges = common.cut(common.join_hot(edges, first, ["instance"], "m").select("pattern", "instance", "n", "share"))
+    scored = edges.withColumn("score", F.col("share"))
+    for k in range(rounds):
+        believed = F.sum((F.col("score") >= BELIEVED).cast("long"))
+        pattern = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"), F.sum("n").alias("m"), believed.alias("known"))
+        pattern = common.cut(pattern.filter(f"m >= {MIN_SUPPORT} and known >= {MIN_KNOWN}").drop("known"))
+        if k == rounds - 1:
+            break
+        place = F.row_number().over(Window.partitionBy("instance").orderBy(F.col("confidence").desc(), "pattern"))
+        two = common.join_hot(edges.select("pattern", "instance"), pattern, ["pattern"], "m").withColumn("place", place).filter("place <= 2")
+        top = lambda c, j: F.max(F.when(F.col("place") == j, F.col(c)))
+        best = two.groupBy("instance").agg(top("pattern", 1).alias("by"), top("confidence", 1).alias("best"), top("confidence", 2).alias("next"))
+        best = common.cut(best.join(first.select("instance", "m"), "instance"))
+        other = F.when(F.col("by") == F.col("pattern"), F.col("next")).otherwise(F.col("best"))
+        joined = common.join_hot(edges, best, ["instance"], "m", "left")
+        scored = joined.select("pattern", "instance", "n", F.greatest("share", F.coalesce(other, F.lit(0.0))).alias("score"))
     return pattern.filter(f"confidence >= {MIN_CONFIDENCE}")
 
 
 def _joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(x) for x in (*KINDS, "id")])
+    names = F.array(*[F.lit(x) for x in NAMES])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """Counts, hash and spans of each row of docs (doc_id, text)."""
     found = common.cut(extract(docs))
-    new = found.select("doc_id", F.explode("cand").alias("c")).filter("not c.seed").join(confident_patterns(found).withColumnRenamed("pattern", "p"), F.col("c.pattern") == F.col("p"), "left_semi")
-    new = new.groupBy(F.col("doc_id").alias("id__")).agg(F.collect_list(F.struct(F.col("c.start").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("c.end").alias("end"))).cast(_SPAN).alias("new"))
-    every = found.join(new, found["doc_id"] == new["id__"], "left").withColumn("new", F.coalesce("new", F.array().cast(_SPAN)))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return every.select(
+    at = common.cut(located(found))
+    cand = at.filter(f"kind = {CANDIDATE_KIND}").select("row", "start", "end", "instance", "patterns", "seed")
+    sure = common.cut(confident_patterns(cand).select("pattern", "m"))
+    under = cand.filter("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    new = common.join_hot(under, sure, ["pattern"], "m").select("row", "start", F.lit(ID_KIND).alias("kind"), "end").distinct()
+    every = at.filter(f"kind <> {CANDIDATE_KIND}").select("row", "start", "kind", "end").unionByName(new)
+    spans = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("s"))
+    full = found.select("row", "doc_id").join(spans, "row", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long")
+    return full.select(
         "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.sort_array(F.concat("base", "new"))).alias("spans"), F.size("new").cast("long").alias("n_id"),
+        F.sha2(_joined(F.filter("s", lambda x: x["kind"] < len(KINDS))), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"),
+        count(SECRET_KIND).alias("n_secret"), count(ID_KIND).alias("n_id"), F.size("s").cast("long").alias("n_spans"),
     )
 
 

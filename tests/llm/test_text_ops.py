@@ -105,6 +105,8 @@ def luhn(d):
 def base(t):
     out = []
     for k, (kind, form) in enumerate(FORMS.items()):
+        if {"email": "@", "ip": ".", "phone": "+"}.get(kind, "") not in (t or ""):
+            continue  # the plain forms try each start of a long run
         for m in re.finditer(form, t or ""):
             d = re.sub("[^0-9]", "", m[0])
             if {"email": lambda: True, "ip": lambda m=m: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda d=d: 14 <= len(d) <= 19 and luhn(d), "phone": lambda d=d: 10 <= len(d) <= 15}[kind]():
@@ -123,16 +125,90 @@ def test_pii_base_spans(spark, docs_of):
         assert ",".join(s for s in x.spans.split(",") if not s.startswith("id:")) == want
 
 
+def pii_brute(rows):
+    """All spans of each text, by a plain version of seeds, patterns, instances and rounds."""
+    import regex
+
+    occ, spans = [], [[] for _ in rows]
+    for at, (_, text) in enumerate(rows):
+        t = text or ""
+        spans[at] += [(int(s), list(FORMS).index(kind), int(e)) for kind, s, e in (x.split(":") for x in base(t)[0].split(",") if x)]
+        spans[at] += [(m.start(), pii.SECRET_KIND, m.end()) for m in regex.finditer(pii.SECRET, t)]
+        found = list(regex.finditer(pii.CANDIDATE, t))
+        for j, m in enumerate(found):
+            before = t[found[j - 1].end() if j else 0 : m.start()].split()
+            behind = t[m.end() : found[j + 1].start() if j + 1 < len(found) else len(t)].split()
+            c = regex.match(r"^([^\p{L}0-9+(]*+)(.*?)[^\p{L}0-9)]*$", m[0])
+            core, s = c[2], m.start() + len(c[1])
+            if len(core) < pii.MIN_LENGTH:
+                continue
+            sh = regex.sub("[a9]{3,}", "x", regex.sub("[0-9]+", "9", regex.sub(r"\p{L}+", "a", core)))
+            patterns = ["l " + (before[-1].lower() if before else "") + " " + sh, "r " + sh + " " + (behind[0].lower() if behind else ""), "i " + core[:4].lower() + " " + sh]
+            occ.append((at, s, s + len(core), core, patterns, any(b < s + len(core) and e > s for b, _, e in spans[at])))
+    edges = Counter((p, o[3]) for o in occ for p in o[4])
+    share = {i: sum(o[5] for o in occ if o[3] == i) / sum(1 for o in occ if o[3] == i) for i in {o[3] for o in occ}}
+    confidence = {}
+    for _ in range(pii.ROUNDS):
+        score = {(p, i): max([share[i], *[c for q, c in confidence.items() if q != p and (q, i) in edges]]) for p, i in edges}
+        confidence = {}
+        for p in {p for p, _ in edges}:
+            mine = {i: n for (q, i), n in edges.items() if q == p}
+            if sum(mine.values()) >= pii.MIN_SUPPORT and sum(score[p, i] >= pii.BELIEVED for i in mine) >= pii.MIN_KNOWN:
+                confidence[p] = sum(n * score[p, i] for i, n in mine.items()) / sum(mine.values())
+    for at, s, e, _, patterns, seed in occ:
+        if not seed and any(confidence.get(p, 0) >= pii.MIN_CONFIDENCE for p in patterns):
+            spans[at].append((s, pii.ID_KIND, e))
+    return [",".join(f"{pii.NAMES[k]}:{s}:{e}" for s, k, e in sorted(x)) for x in spans]
+
+
+def test_pii_spans_match_a_plain_version(spark, docs_of):
+    r = random.Random(9)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    things = [lambda: f"u{number(2)}@mail{r.randint(1, 3)}.com", lambda: f"10.0.{r.randint(0, 255)}.7", lambda: f"+1 212 555 {number(4)}", lambda: f"AC-{number(6)}", lambda: f'"{number(4)}abc{number(3)}"', lambda: f"password={number(12)}", lambda: f"AKIA{number(16)}", lambda: number(5), lambda: "Version 2.0.", *[lambda: "pay " + r.choice(["4111111111111111", "5500005555555559", "4012888888881881"] * 4 + [number(16)])] * 3]
+    rows = []
+    for i in range(160):
+        w = []
+        for _ in range(r.randint(0, 6)):
+            w += [r.choice(VOCABULARY[:30]), *r.choice([[], ["account"], ["mail", "to"], ["call"], ["key", "="]]), r.choice(things)(), *r.choice([[], ["please"], [",", "thanks"]])]
+        rows.append((i, " ".join(w)))
+    rows += [*ODD, (5, rows[7][1]), (None, "account AC-123456 please"), (None, None)]
+    want = pii_brute(rows)
+    assert sum(x.count("id:") for x in want) > 3 and sum(x.count("secret:") for x in want) > 10
+    got = pii.detect(docs_of(rows)).collect()
+    assert Counter((x.doc_id, x.spans) for x in got) == Counter((i, x) for (i, _), x in zip(rows, want, strict=True))
+    for x in got:
+        kinds = Counter(s.split(":")[0] for s in x.spans.split(",") if s)
+        assert (x.n_email, x.n_secret, x.n_id, x.n_spans) == (kinds["email"], kinds["secret"], kinds["id"], sum(kinds.values()))
+
+
 def test_pii_patterns_find_unseen_identifiers(spark, docs_of):
     rows = [(i, f"some words then contact: u{i}@mail{i}.example.com and more") for i in range(12)] + [(50, "some words then contact: u77@mail9.examplecom and more"), (51, "it is 12345 here"), (52, None)]
     got = {r.doc_id: r for r in pii.detect(docs_of(rows)).collect()}
     assert got[3].n_email == 1 and got[51].n_id == 0 and got[52].spans == ""
-    cards = [(i, f"pay by card 411111111111111{d} now") for i, d in enumerate([1] * 9)] + [(20, "pay by card 4111111111111112 now")]
+    cards = [(i, f"pay by card 411111111111111{d} now") for i, d in enumerate([1] * 9)] + [(20, "pay by card 4111111111111112 now"), (21, "use card 5500005555555559 now")]
     got = {r.doc_id: r for r in pii.detect(docs_of(cards)).collect()}
     assert got[20].n_card == 0 and got[20].spans == "id:12:28" and got[0].n_card == 1
     assert pii.detect(docs_of([])).count() == 0
 
 
+def test_pii_bootstraps_past_its_seeds(spark, docs_of):
+    """Numbers behind `badge` are never seeds; those that also stand behind `card` are believed, and so make `badge` a pattern."""
+    seeds = [(i, f"card 4111111111111111{' ' * i}paid") for i in range(30)] + [(40, "card 5500005555555559 paid")]
+    bridge = [(100 + i, f"card 9999-{i} and later badge 9999-{i} there") for i in range(4)]
+    got = {r.doc_id: r for r in pii.detect(docs_of([*seeds, *bridge, (200, "then badge 1234-9 went"), (201, "some other 1234-8 went")])).collect()}
+    assert got[200].spans == pii_brute([*seeds, *bridge, (200, "then badge 1234-9 went"), (201, "some other 1234-8 went")])[-2]
+    assert got[201].n_id == 0
+
+
+def test_pii_time_grows_with_the_text(spark, docs_of):
+    import time
+
+    pii.detect(docs_of([(1, "a@b.co")])).collect()
+    t = time.time()
+    (x,) = pii.detect(docs_of([(1, "a@b.co 10.0.0.1 " * 65_000)], 1)).collect()
+    assert x.n_email == x.n_ip == 65_000 and time.time() - t < 60
+
+
 # ---- line dedup -------------------------------------------------------------------------------
 
 
@@ -186,6 +262,31 @@ def test_line_dedup_of_repeated_rows(spark, docs_of):
         assert Counter((x.doc_id, x.text) for x in got) == Counter((rows[order[k]][0], t) for k, t in want.items())
 
 
+def test_maximal_runs(spark, docs_of):
+    r = random.Random(3)
+    lines = [" ".join(r.choice(VOCABULARY) for _ in range(4)) for _ in range(10)]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 12)))) for i in range(30)]
+    keyed = docs_of(rows, 1).select("doc_id", "text", "doc_id").toDF("doc_id", "text", "row").cache()
+    texts, dead = dict(rows), defaultdict(set)
+    for x in line_dedup.maximal_runs(keyed, 8).collect():
+        mine, its = texts[x.doc_id].split("\n"), texts[x.of_doc_id].split("\n")
+        assert mine[x.start : x.start + x.lines] == its[x.of_start : x.of_start + x.lines] and (x.of_doc_id, x.of_start) < (x.doc_id, x.start)
+        dead[x.doc_id] |= set(range(x.start, x.start + x.lines))
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead[i]) for i, t in rows}
+    assert left == dedup_brute(rows, 8)
+    keyed.unpersist()
+
+
+def test_frequent_lines_take_their_own_way(spark, docs_of, monkeypatch):
+    """Lines, pairs and runs with more rows than HOT_ROWS are joined where they lie, and ordered in cells."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    r = random.Random(8)
+    lines = [" ".join(r.choice(VOCABULARY) for _ in range(3)) for _ in range(9)]
+    rows = [(i, "\n".join(r.choice(lines[: 1 + r.randrange(9)]) for _ in range(r.randint(1, 14)))) for i in range(60)]
+    got = line_dedup.dedup(docs_of(rows), 7).collect()
+    assert {x.doc_id: x.text for x in got} == dedup_brute(rows, 7)
+
+
 # ---- n-gram Jaccard ---------------------------------------------------------------------------
 
 
@@ -213,7 +314,8 @@ def components_brute(rows):
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_jaccard_components_match_brute_force(spark, docs_of, seed, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "TILE_ROWS", 3 if seed else 2048)
+    for name, small in (("TILE_ROWS", 3), ("CHUNK_TOKENS", 400), ("OFTEN", 3), ("BUCKET_CHARS", 500)) if seed else ():
+        monkeypatch.setattr(ngram_jaccard, name, small)
     rows = [*random_docs(seed, 90), *ODD, (960, "A b c D e f g"), (961, "a B c d e f g")]
     df = docs_of(rows)
     got = ngram_jaccard.components(df).collect()
@@ -255,7 +357,7 @@ def test_bitmap_bound_never_undercuts():
 # ---- decontamination --------------------------------------------------------------------------
 
 
-def test_decontamination(spark, docs_of, monkeypatch):
+def test_decontamination(spark, docs_of):
     r = random.Random(2)
     items = [(k, " ".join(r.choice(VOCABULARY) for _ in range(n))) for k, n in enumerate((40, 30, 15, 8))] + [(9, None), (10, "")]
     w = items[0][1].split()
@@ -264,15 +366,14 @@ def test_decontamination(spark, docs_of, monkeypatch):
     test = spark.createDataFrame(items, "item_id long, text string")
     want = {0: [0], 1: [0], 3: [0], 4: [3], 6: [1, 2]}
     for most in (2_000_000, 30):
-        monkeypatch.setattr(decontamination, "MAX_INDEX_WORDS", most)
-        monkeypatch.setattr(decontamination.indexes, "__defaults__", (most,))
-        got = {x.doc_id: x for x in decontamination.overlaps(docs_of(rows), test).collect()}
+        got = {x.doc_id: x for x in decontamination.overlaps(docs_of(rows), test, most).collect()}
         assert {i: list(x.item_ids) for i, x in got.items() if x.contaminated} == want and len(got) == len(rows)
         df = docs_of(rows)
-        clean = decontamination.filter_clean(df, test)
+        clean = decontamination.filter_clean(df, test, most)
         assert clean.schema == df.schema and {x.doc_id for x in clean.collect()} == {i for i, _ in rows} - want.keys()
-    assert decontamination.overlaps(docs_of([]), test).count() == 0
-    assert not decontamination.overlaps(docs_of(rows), test.limit(0)).filter("contaminated").count()
+        assert decontamination.overlaps(docs_of([]), test, most).count() == 0
+    for most in (2_000_000, -1):
+        assert not decontamination.overlaps(docs_of(rows), test.limit(0), most).filter("contaminated").count()
 
 
 def test_items_shorter_than_any_mask_are_found(spark, docs_of):
@@ -286,16 +387,58 @@ def test_items_shorter_than_any_mask_are_found(spark, docs_of):
     assert {x.doc_id for x in decontamination.filter_clean(df, test).collect()} == {i for i, _ in rows} - want.keys()
 
 
-def test_repeated_rows_are_judged_alike_with_any_number_of_blocks(spark, docs_of, monkeypatch):
+def test_repeated_rows_are_judged_alike_with_an_index_and_with_tables(spark, docs_of):
     items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(6)]
     rows = [(1, f"{items[0][1]} {items[4][1]}"), (1, items[2][1]), (1, "clean"), (None, items[3][1]), (None, "clean"), (None, None)]
     test = spark.createDataFrame(items, "item_id long, text string")
     for most in (2_000_000, 30):
-        monkeypatch.setattr(decontamination.indexes, "__defaults__", (most,))
-        got = decontamination.overlaps(docs_of(rows), test).collect()
+        got = decontamination.overlaps(docs_of(rows), test, most).collect()
         assert Counter((x.doc_id, x.contaminated, tuple(x.item_ids), x.matched) for x in got) == Counter([(1, True, (0, 4), 15), (1, True, (2,), 15), (1, False, (), 0), (None, True, (3,), 15), (None, False, (), 0), (None, False, (), 0)])
 
 
+def overlap_brute(texts, items):
+    """item: best stretch, for each text; every diagonal of every pair is measured."""
+    cut = lambda t: re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", (t or "").lower())
+    out = []
+    for t in texts:
+        h, found = np.array(cut(t), object), {}
+        for i, x in items:
+            w = np.array(cut(x), object)
+            for d in range(1 - len(w), len(h)) if len(w) else ():
+                a, b = max(0, d), min(len(h), len(w) + d)
+                best = decontamination.stretch(h[a:b] == w[a - d : b - d])
+                if best >= min(decontamination.MIN_MATCH, len(w)):
+                    found[i] = max(best, found.get(i, 0))
+        out.append(found)
+    return out
+
+
+def test_overlaps_match_brute_force_with_an_index_and_with_tables(spark, docs_of):
+    r = random.Random(11)
+    few = VOCABULARY[:6]  # words recur, within items too
+    items = [(k, " ".join(r.choice(few if k % 2 else VOCABULARY) for _ in range(r.choice([3, 7, 13, 20, 40])))) for k in range(14)] + [(50, "w1 w1 w1 w1 " * 5), (51, None), (52, "?")]
+    texts = []
+    for k in range(60):
+        w = [r.choice(few) for _ in range(10)] + (items[r.randrange(15)][1].split() if k % 3 else []) + [r.choice(VOCABULARY) for _ in range(10)]
+        texts.append(" ".join("zz" if r.random() < 0.12 else x for x in w))
+    rows = [*enumerate(texts), (900, "w1 " * 300), (901, None), (902, "")]
+    want = {i: f for (i, _), f in zip(rows, overlap_brute([t for _, t in rows], items), strict=True)}
+    assert 15 < sum(map(bool, want.values())) < 60
+    test = spark.createDataFrame(items, "item_id long, text string")
+    df = docs_of(rows, 3)
+    for most in (2_000_000, 10):
+        got = {x.doc_id: x for x in decontamination.overlaps(df, test, most).collect()}
+        assert {i: (x.contaminated, list(x.item_ids), x.matched) for i, x in got.items()} == {i: (bool(f), sorted(f), max(f.values(), default=0)) for i, f in want.items()}
+        assert {x.doc_id for x in decontamination.filter_clean(df, test, most).collect()} == {i for i, f in want.items() if not f}
+
+
+def test_equal_words_cost_as_many_hits_as_there_are_words():
+    index = decontamination.Index([(1, "a " * 1000)])
+    h, at = decontamination.words(pa.array(["a " * 10_000, "b"]))
+    assert sum(len(p) for p, _ in index.hits(h, at)) < 8 * 11_000
+    assert index.scan(pa.array(["a " * 10_000, "b"])) == {0: {1: 1000}}
+
+
 def test_no_qualifying_stretch_is_missed():
     r = random.Random(6)
     want, got = [], []
