@@ -29,5 +29,9 @@ class StateError(GranuloError):
     """A step was called out of order."""
 
 
+class UnknownIdError(GranuloError):
+    """A particle that is asked for by its ID isn't there."""
+
+
 class AgglomerateError(GranuloError):
     """An agglomerate without members, or a member that isn't one."""

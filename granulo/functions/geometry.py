@@ -46,8 +46,8 @@ def ceil_to_magnitude(v: Column, order: bool = True) -> Column:
 
 
 def rgb_to_256(c: Column) -> Column:
-    """An array of channels from 0..1 to 0..255."""
-    return F.transform(c, lambda x: F.round(x * 255).cast("int"))
+    """An array of channels from 0..1 to 0..255; fractions are cut off."""
+    return F.transform(c, lambda x: (x * 255).cast("int"))
 
 
 def rgb_to_unit(c: Column) -> Column:
@@ -55,10 +55,11 @@ def rgb_to_unit(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double") / 255)
 
 
-def rgb_shade(value: Column, low: Column, high: Column, dark: list[float], light: list[float]) -> Column:
-    """A colour between dark and light, by where value lies between low and high."""
-    t = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
-    return F.array(*[F.lit(a) + t * (b - a) for a, b in zip(dark, light, strict=True)])
+def rgb_shade(c: Column, factor: Column | float) -> Column:
+    """An array of whole channels, of which the first three are darkened to a share of 1 - factor (fractions are cut off, and
+    a factor below 0 makes them lighter); all are held within 0..255. A fourth, for opacity, stays."""
+    left = F.lit(1.0) - factor
+    return F.transform(c, lambda x, i: F.least(F.lit(255), F.greatest(F.lit(0), F.when(i < 3, (x * left).cast("int")).otherwise(x.cast("int")))))
 
 
 #: The colours of agglomerate and particle types.

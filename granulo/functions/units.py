@@ -23,10 +23,20 @@ def magnification(text: Column) -> Column:
     return n * F.when(F.array_contains(words, "K"), 1000.0).otherwise(1.0)
 
 
-def pixel_size(tags: Column) -> Column:
+def old_format(tags: Column) -> Column:
+    """Whether tags lack a named pixel size, so that pixel_size() takes an unnamed number for metres."""
+    return F.coalesce(tags["ap_image_pixel_size"], tags["ap_pixel_size"]).isNull() & tags[""].isNotNull()
+
+
+def pixel_size(tags: Column, strict: bool = True) -> Column:
     """Metres of a pixel from a map of tags: ap_image_pixel_size, or else ap_pixel_size (`name|value|unit`), or else the
-    fourth of the unnamed numbers (`||..|metres`); null where none is there or the unit is unknown."""
+    fourth of the unnamed numbers (`||..|metres`); null where none is there. A unit that isn't known fails the query, or
+    gives null if not strict."""
     named = F.coalesce(tags["ap_image_pixel_size"], tags["ap_pixel_size"])
     parts = F.split(named, r"\|")
     plain = F.get(F.split(tags[""], r"\|"), F.lit(3)).try_cast("double")
-    return F.when(named.isNotNull(), F.get(parts, F.lit(1)).try_cast("double") * unit_metres(F.get(parts, F.lit(2)))).otherwise(plain)
+    unit = F.get(parts, F.lit(2))
+    metres = unit_metres(unit)
+    if strict:
+        metres = F.coalesce(metres, F.raise_error(F.concat(F.lit("unknown unit of pixel size: "), F.coalesce(unit, F.lit("none")))).cast("double"))
+    return F.when(named.isNotNull(), F.get(parts, F.lit(1)).try_cast("double") * metres).otherwise(plain)

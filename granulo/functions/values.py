@@ -7,7 +7,7 @@ from collections.abc import Sequence
 #: Texts that stand for no value or for a default, in any case.
 NONE_TEXTS = ("none", "null", "nan", "")
 DEFAULT_TEXTS = ("default", "auto", "normal")
-TRUE_TEXTS = ("true", "t", "y", "yes", "yeah", "yup")
+TRUE_TEXTS = ("true", "1", "t", "y", "yes", "yeah", "yup")
 
 
 def is_empty(text) -> bool:

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granulo.errors import StateError
 
-def _shared(spark) -> str:
-    """spark.checkpoint.dir, which a cluster's machines share; a temporary folder only where it is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return told or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "granulo-checkpoints")
+
+def shared_dir(spark) -> str:
+    """spark.checkpoint.dir, which a cluster's machines share. Where it is unset, a temporary folder, and only if all runs on
+    this machine."""
+    sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not told and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise StateError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return told or os.path.join(tempfile.gettempdir(), "granulo-checkpoints")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    path = f"{_shared(df.sparkSession).rstrip('/')}/components-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/components-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granulo.errors import AgglomerateError
 from granulo.functions import geometry as G
 
 THRESHOLD = 0.5
@@ -67,3 +68,11 @@ def members_of(members: DataFrame) -> DataFrame:
     """For each agglomerate its members' IDs and diameters, from large to small."""
     rows = F.sort_array(F.collect_list(F.struct("k", "ID", "D")))
     return members.groupBy("ds_id", "agl").agg(rows.alias("m")).select("ds_id", "agl", F.col("m.ID").alias("member_ids"), F.col("m.D").alias("member_Ds"))
+
+
+def member(members: DataFrame, ds_id: str, agl: int, particle: int) -> DataFrame:
+    """The row of a member of an agglomerate, by its ID; who isn't one raises."""
+    row = members.filter((F.col("ds_id") == ds_id) & (F.col("agl") == agl) & (F.col("ID") == particle))
+    if row.limit(1).count() == 0:
+        raise AgglomerateError(f"particle {particle} is no member of agglomerate {agl} of {ds_id}")
+    return row

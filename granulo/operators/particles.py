@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulo.errors import EmptySourceError
+from granulo.errors import EmptySourceError, UnknownIdError
 from granulo.functions import geometry as G
 
 #: Order of columns of a particle table.
@@ -30,6 +30,13 @@ def scale(pixels: DataFrame, info: DataFrame) -> DataFrame:
     return j.select("ds_id", "ID", *[(F.col(c) * F.col("px_size")).alias(c) for c in ("X", "Y", "D", "R")])
 
 
+def require_scale(pixels: DataFrame, info: DataFrame) -> None:
+    """Raises if a data set with particles has no usable pixel size."""
+    lost = [r[0] for r in missing_scale(pixels, info).orderBy("ds_id").limit(5).collect()]
+    if lost:
+        raise EmptySourceError(f"no pixel size for data sets {lost}; settings or image tags must tell it")
+
+
 def missing_scale(pixels: DataFrame, info: DataFrame) -> DataFrame:
     """Data sets with particles that have no usable pixel size."""
     return pixels.select("ds_id").distinct().join(info.filter("px_size <> 0"), "ds_id", "left_anti")
@@ -60,9 +67,13 @@ def particles(source: DataFrame, info: DataFrame | None = None, duplicate_id: st
 
 
 def by_ids(parts: DataFrame, ids: list[int]) -> DataFrame:
-    """The particles of a list of IDs, in its order (column pos). Each must exist in every data set asked for."""
+    """The particles of a list of IDs, in its order (column pos). An ID that no data set has raises."""
     wanted = parts.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, ID long")
-    return parts.join(F.broadcast(wanted), "ID").orderBy("ds_id", "pos")
+    found = parts.join(F.broadcast(wanted), "ID")
+    missing = set(ids) - {r[0] for r in found.select("ID").distinct().collect()}  # no more rows than ids
+    if missing:
+        raise UnknownIdError(f"no particle has ID {sorted(missing)}")
+    return found.orderBy("ds_id", "pos")
 
 
 def largest(parts: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ class Batch:
     def __init__(self, source: DataFrame, info: DataFrame | None = None, threshold: float = morphology.THRESHOLD, duplicate_id: str = "last", components: str = "auto", conditions: dict | None = None):
         if source.limit(1).count() == 0:
             raise EmptySourceError("the source has no particles")
+        if info is not None:
+            particles.require_scale(source, info)
         self.spark: SparkSession = source.sparkSession
         self.source, self.info, self.threshold, self.duplicate_id, self.method = source, info, threshold, duplicate_id, components
         self.conditions = conditions or {}
@@ -40,7 +42,7 @@ class Batch:
             rows = one if rows is None else rows.unionByName(one)
         told = spark.createDataFrame([(k, _number(s["data"]["images"][k]["magnification"]), _number(s["data"]["images"][k]["pixel_size"])) for k in sets], "ds_id string, mag__ double, px__ double")
         info = images.info(scan).drop("tags").join(F.broadcast(told), "ds_id")
-        info = info.select("ds_id", "img_name", F.coalesce("mag__", "magnification").alias("magnification"), F.coalesce("px__", "px_size").alias("px_size"), F.concat(F.lit(f"{directory.IMAGES}/"), F.col("ds_id")).alias("subdir"))
+        info = info.select("ds_id", "img_name", F.coalesce("mag__", "magnification").alias("magnification"), F.coalesce("px__", "px_size").alias("px_size"), (F.col("px__").isNull() & F.col("old_format")).alias("old_format"), F.concat(F.lit(f"{directory.IMAGES}/"), F.col("ds_id")).alias("subdir"))
         batch = cls(rows, info, s["analysis"]["collector_threshold"], conditions=s["metadata"]["conditions"], **options)
         batch.bins = s["analysis"]["PSD_space"]
         return batch

@@ -93,7 +93,7 @@ def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def info(images: DataFrame) -> DataFrame:
-    """(ds_id, img_name, tags, magnification, px_size)."""
+    """(ds_id, img_name, tags, magnification, px_size, old_format): old_format warns of a pixel size whose unit no tag tells."""
 
     def run(batches):
         for b in batches:
@@ -101,4 +101,4 @@ def info(images: DataFrame) -> DataFrame:
 
     t = images.select("ds_id", "path", "content").mapInArrow(run, "ds_id string, path string, tags map<string,string>")
     mag = units.magnification(F.get(F.split(F.col("tags")["ap_mag"], r"\|"), F.lit(1)))
-    return t.select("ds_id", F.element_at(F.split("path", "/"), -1).alias("img_name"), "tags", mag.alias("magnification"), units.pixel_size(F.col("tags")).alias("px_size"))
+    return t.select("ds_id", F.element_at(F.split("path", "/"), -1).alias("img_name"), "tags", mag.alias("magnification"), units.pixel_size(F.col("tags")).alias("px_size"), units.old_format(F.col("tags")).alias("old_format"))

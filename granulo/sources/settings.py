@@ -19,6 +19,8 @@ IMAGE_DEFAULTS = {
     "img_file": "auto", "HCT_file": "auto", "magnification": "auto", "pixel_size": "auto", "crop_ratio": 0.0, "median_blur": 3,
     "d_min": [3, 50], "d_max": [50, 140], "dist2R": 0.5, "param1": 200, "param2": 15, "additional_info": None,
 }
+#: What an image without an entry has instead: no particle file, so it is searched for circles.
+NO_ENTRY = {"img_file": "", "HCT_file": ""}
 DEFAULTS = {
     "general": {"working_dir": "."},
     "metadata": {"conditions": {}},
@@ -64,7 +66,7 @@ def check_conditions(conditions: Mapping) -> None:
 
 
 def validate(settings) -> dict:
-    """A copy of settings in which images without entries have the library's defaults; errors name the key's route."""
+    """A copy of settings in which images without entries have the library's defaults and NO_ENTRY; errors name the key's route."""
     if not isinstance(settings, Mapping):
         raise SettingsError("settings: not a mapping")
     s = copy.deepcopy(dict(settings))
@@ -72,7 +74,7 @@ def validate(settings) -> dict:
     check_conditions(s["metadata"]["conditions"])
     for name, image in s["data"]["images"].items():
         if image is None:
-            s["data"]["images"][name] = copy.deepcopy(IMAGE_DEFAULTS)
+            s["data"]["images"][name] = copy.deepcopy(IMAGE_DEFAULTS) | NO_ENTRY
         else:
             _check(image, IMAGE_SCHEMA, f"data.images.{name}")
     return s
@@ -135,12 +137,35 @@ def new(images: list[str | Path]) -> dict:
     return s
 
 
+ANCHOR = "default_img"
+
+
+class _Merge(str):
+    """The key by which a mapping takes over another."""
+
+
+class _Dumper(yaml.SafeDumper):
+    """Names the one mapping that others refer to by ANCHOR, and never refers to anything else."""
+
+    def generate_anchor(self, node):
+        return ANCHOR
+
+    def ignore_aliases(self, data):
+        return not (isinstance(data, dict) and data is self.shared)
+
+    shared: dict | None = None
+
+
+_Dumper.add_representer(_Merge, lambda d, k: d.represent_scalar("tag:yaml.org,2002:merge", str(k)))
+
+
 def dump(settings: dict) -> str:
     """YAML in which each image takes the default branch by an anchor and states only what differs."""
     s = copy.deepcopy(settings)
-    s["data"]["images"] = {k: {"<<": "*default_img", **v} for k, v in s["data"]["images"].items()}
-    text = yaml.dump(s, default_flow_style=False, sort_keys=False, allow_unicode=True)
-    return text.replace("  default:\n", "  default: &default_img\n").replace("'<<': '*default_img'", "<<: *default_img")
+    default = s["data"]["default"]
+    s["data"]["images"] = {k: {_Merge("<<"): default, **v} for k, v in s["data"]["images"].items()}
+    named = type("Named", (_Dumper,), {"shared": default})
+    return yaml.dump(s, Dumper=named, default_flow_style=False, sort_keys=False, allow_unicode=True)
 
 
 def create(folder: str | Path, output: str | Path = FILE_NAME, images: list | None = None, overwrite: bool = False) -> Path:

@@ -4,9 +4,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granulo.errors import EmptySourceError, LayoutError, ParticleCsvError, SettingsError
-from granulo.functions import values
+from granulo.functions import geometry, units, values
 from granulo.operators import vision
 from granulo.plans.batch import Batch
 from granulo.sources import directory, images, legacy, particle_csv
@@ -64,7 +65,9 @@ def test_settings(tmp_path):
     s = settings()
     assert S.validate(s)["data"]["images"]["a"]["img_file"] == "a.tif"
     s["data"]["images"]["b"] = None
-    assert S.validate(s)["data"]["images"]["b"] == S.IMAGE_DEFAULTS
+    assert S.validate(s)["data"]["images"]["b"] == {**S.IMAGE_DEFAULTS, "img_file": "", "HCT_file": ""}
+    named = S.name_files(S.validate(s))["data"]["images"]["b"]
+    assert (named["img_file"], named["HCT_file"]) == ("b.tif", None)  # no particle file is looked for, even if b_HCT.csv is there
     for break_ in (lambda x: x["general"].pop("working_dir"), lambda x: x["analysis"].update(more=1), lambda x: x["data"].update(images=[]), lambda x: x["data"]["images"]["a"].update(d_min="x"), lambda x: x["metadata"]["conditions"].update(t=[1, 2])):
         bad = settings()
         break_(bad)
@@ -78,17 +81,32 @@ def test_settings(tmp_path):
     assert loaded["data"]["images"]["x"]["magnification"] is None
     with pytest.raises(FileExistsError):
         S.create(tmp_path, images=[])
-    assert "&default_img" in path.read_text() and "<<: *default_img" in path.read_text()
+    assert path.read_text().count("&default_img") == 1 and path.read_text().count("<<: *default_img") == 2
+    assert S.DEFAULTS == S.new([]) and "'" not in S.dump(S.new(["a.tif"]))
 
 
 def test_value_helpers():
-    assert values.is_none("NaN") and values.is_default("Auto") and values.is_default_or_none("") and values.is_true("yes") and values.is_number("1e3") and not values.is_number(None)
+    assert values.is_none("NaN") and values.is_default("Auto") and values.is_default_or_none("") and values.is_true("yes") and values.is_true("1") and not values.is_true("0") and values.is_number("1e3") and not values.is_number(None)
     assert values.to_length(3, 2) == [3, 3] and values.zip_parameters(a=[1, 2], b=3) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
     with pytest.raises(ValueError):
         values.to_length([1, 2], 3)
     assert values.interpolate_colours([0, 10, 20], [0, 1, 3], 2) == 15
 
 
+def test_colours_and_units(spark):
+    c = lambda *x: F.array(*[F.lit(v) for v in x])
+    one = lambda x: spark.range(1).select(x.alias("x")).first().x
+    assert one(geometry.rgb_to_256(c(0.999, 0.5, 0.0, 1.0))) == [254, 127, 0, 255] and one(geometry.rgb_to_unit(c(51, 255))) == [0.2, 1.0]
+    assert one(geometry.rgb_shade(c(200, 101, 7, 90), 0.5)) == [100, 50, 3, 90] and one(geometry.rgb_shade(c(200, 10, 0), -0.5)) == [255, 15, 0]
+    tags = lambda **x: F.create_map(*[F.lit(v) for k in x.items() for v in k])
+    assert one(units.pixel_size(tags(ap_pixel_size="Pixel|500|nm"))) == pytest.approx(5e-7)
+    old = F.create_map(F.lit(""), F.lit("0|0|0|1e-09"))
+    assert one(units.pixel_size(old)) == 1e-9 and one(units.old_format(old)) and not one(units.old_format(tags(ap_pixel_size="Pixel|500|nm")))
+    assert one(units.pixel_size(tags(ap_pixel_size="Pixel|5|ft"), strict=False)) is None
+    with pytest.raises(Exception, match="unknown unit of pixel size: ft"):
+        one(units.pixel_size(tags(ap_pixel_size="Pixel|5|ft")))
+
+
 def test_legacy(spark, tmp_path):
     (tmp_path / "s.csv").write_text("img_name;a.tif\nmagnification;25000\nDmin;3;px\nDmax;50;px\n")
     assert tuple(legacy.image_settings(spark, str(tmp_path / "s.csv")).first())[1:] == ("a.tif", 25000.0, 3.0, 50.0)
@@ -135,3 +153,7 @@ def test_batch_from_directory(spark, tmp_path):
     assert sum(r.counts for r in b.agl_pcd([0.0, 1.0, 100.0]).collect()) == b.agglomerates.count()
     with pytest.raises(EmptySourceError):
         Batch(spark.createDataFrame([], "ds_id string, ID long, X double, Y double, R double"))
+    source = spark.createDataFrame([("a", 1, 0.0, 0.0, 1.0), ("b", 1, 0.0, 0.0, 1.0)], "ds_id string, ID long, X double, Y double, R double")
+    for size in (0.0, None):
+        with pytest.raises(EmptySourceError, match="'b'"):
+            Batch(source, spark.createDataFrame([("a", 1.0), ("b", size)], "ds_id string, px_size double"))
