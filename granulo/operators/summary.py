@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from granulo.functions import geometry as G
 
+from .quantiles import quantiles
+
+TENTHS = {"particle_D10": ("D", 0.1), "particle_D50": ("D", 0.5), "particle_D90": ("D", 0.9)}
 COUNTS = ["N_primary_particle", "N_aerosol_particle", "N_pp1", "N_ppA", "N_agl", "N_collector_agl", "N_similar_agl", "N_pp1_separate"]
 
 
-def _particles(prefix: str = "particle") -> list:
-    q = lambda p: F.percentile("D", F.lit(p))
-    return [F.count("*").alias("N_primary_particle"), F.avg("D").alias(f"{prefix}_Dmean"), F.stddev_samp("D").alias(f"{prefix}_Dstd"), q(0.1).alias(f"{prefix}_D10"), q(0.5).alias(f"{prefix}_D50"), q(0.9).alias(f"{prefix}_D90"), G.ratio(F.sum(F.pow("D", F.lit(3.0))), F.sum(F.pow("D", F.lit(2.0)))).alias(f"{prefix}_SMD")]
+def _particles() -> list:
+    return [F.count("*").alias("N_primary_particle"), F.avg("D").alias("particle_Dmean"), F.stddev_samp("D").alias("particle_Dstd"), G.ratio(F.sum(F.pow("D", F.lit(3.0))), F.sum(F.pow("D", F.lit(2.0)))).alias("particle_SMD")]
 
 
 def _aggl() -> list:
@@ -36,7 +38,7 @@ DS_COLUMNS = ["ds_id", *COUNTS, "ER", "Ra", "sep2agl", "n_ppA_mean", "n_ppP_mean
 
 def dataset_summary(parts: DataFrame, aggl: DataFrame) -> DataFrame:
     """DS_COLUMNS, a row for each data set. Figures without a denominator are null. (Names differ from N_ppA and N_ppP by more than case, as SQL takes no notice of case.)"""
-    j = parts.groupBy("ds_id").agg(*_particles()).join(aggl.groupBy("ds_id").agg(*_aggl()), "ds_id")
+    j = parts.groupBy("ds_id").agg(*_particles()).join(aggl.groupBy("ds_id").agg(*_aggl()), "ds_id").join(quantiles(parts, ["ds_id"], TENTHS), "ds_id", "left")
     return _ratios(j, pooled=False).select(*DS_COLUMNS)
 
 
@@ -45,7 +47,9 @@ POOLED = [*DS_COLUMNS[1:], "agl_Dmean", "agl_Dstd", "agl_D10", "agl_D50", "agl_D
 
 def pooled_summary(parts: DataFrame, aggl: DataFrame) -> DataFrame:
     """(metric, value) over all data sets: counts are sums, ratios come from sums, and statistics from pooled rows."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    more = [F.avg("D").alias("agl_Dmean"), F.stddev_samp("D").alias("agl_Dstd"), q("D", 0.1).alias("agl_D10"), q("D", 0.5).alias("agl_D50"), q("D", 0.9).alias("agl_D90"), q("members_count", 0.1).alias("agl_member_count_q10"), q("members_count", 0.5).alias("agl_member_count_q50"), q("members_count", 0.9).alias("agl_member_count_q90")]
-    one = _ratios(parts.agg(*_particles()).crossJoin(aggl.agg(*_aggl(), *more)), pooled=True)
+    more = [F.avg("D").alias("agl_Dmean"), F.stddev_samp("D").alias("agl_Dstd")]
+    ends = {"10": 0.1, "50": 0.5, "90": 0.9}
+    of_aggl = {f"agl_D{k}": ("D", p) for k, p in ends.items()} | {f"agl_member_count_q{k}": ("members_count", p) for k, p in ends.items()}
+    one = parts.agg(*_particles()).crossJoin(quantiles(parts, [], TENTHS)).crossJoin(aggl.agg(*_aggl(), *more)).crossJoin(quantiles(aggl, [], of_aggl))  # one row each
+    one = _ratios(one, pooled=True)
     return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in POOLED])))

@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granulo.operators import clusters, histogram, morphology, overlap, particles, summary
+from granulo.errors import AgglomerateError, UnknownIdError
+from granulo.operators import clusters, histogram, morphology, overlap, particles, quantiles, summary
 
 SCHEMA = "ds_id string, ID long, X double, Y double, D double"
 
@@ -100,6 +102,9 @@ def test_morphology_of_a_pair_by_hand(spark):
     assert r.X_com == pytest.approx(12 * 100 / 500) and r.Rg == pytest.approx(math.sqrt((400 * 2.4**2 + 100 * 9.6**2) / 500))
     assert r.members_Dmean == 15 and r.members_Dstdev == pytest.approx(math.sqrt(50))
     assert {m.ID: m.D_ratio for m in members.collect()} == {1: 1.0, 2: 0.5}
+    assert morphology.member(members, "a", 1, 2).first().D == 10
+    with pytest.raises(AgglomerateError):
+        morphology.member(members, "a", 1, 3)
     assert full(spark, [("a", 1, 0.0, 0.0, 20.0), ("a", 2, 12.0, 0.0, 10.0)], 0.49)[2].first().type == "similar"
 
 
@@ -119,6 +124,23 @@ def test_duplicates_scale_and_lookup(spark):
     assert [r.ds_id for r in particles.missing_scale(particles.with_diameter(src), info).collect()] == ["b"]
     assert sorted(r.ID for r in particles.particles(src, None, "reassign").filter("ds_id = 'a'").collect()) == [0, 1, 2]
     assert [r.ID for r in particles.by_ids(p, [2, 1]).collect()] == [2, 1]
+    with pytest.raises(UnknownIdError, match="7"):
+        particles.by_ids(p, [2, 7])
+
+
+def test_quantiles_match_numpy(spark):
+    r = random.Random(4)
+    rows = [(k, v) for k in "abc" for v in [r.choice([r.uniform(0, 1), r.uniform(0, 1000), 5.0, -3.0]) for _ in range(r.randint(1, 300))]] + [("one", 2.5), ("none", None), ("far", 1e300), ("far", 0.0), ("far", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    asked = {f"q{p}": ("v", p) for p in (0.0, 0.1, 0.5, 0.93, 1.0)}
+    got = {x.g: x for x in quantiles.quantiles(df, ["g"], asked).collect()}
+    for g in ("a", "b", "c", "one", "far"):
+        mine = [v for k, v in rows if k == g]
+        for name, (_, p) in asked.items():
+            assert got[g][name] == pytest.approx(np.quantile(mine, p)), (g, p)
+    pooled = quantiles.quantiles(df, [], asked).first()
+    assert pooled["q0.93"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.93))
+    assert quantiles.quantiles(df.limit(0), [], asked).first()["q0.5"] is None
 
 
 def test_bins_close_on_the_right(spark):
