@@ -6,7 +6,9 @@ arithmetic that every engine evaluates alike gives it a place.
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
+import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 from granulo.functions import geometry, units, values
 from granulo.operators import clusters, histogram, morphology, overlap, particles, summary
+from granulo.sources import legacy, particle_csv
+
+log = logging.getLogger("granulo")
 
 MODULI = (401, 409)
 NEAR = (200.0, 200.0, 30.0, 60.0)
@@ -24,16 +29,13 @@ COUNTED = [float(x) for x in range(0, 16, 2)]
 
 
 def _optional() -> list:
-    """Modules that add queries, where they are present."""
+    """Modules that add queries, where they can be imported. What stops one that is there is said on the log."""
     out = []
-    if importlib.util.find_spec("granulo.llm") and importlib.util.find_spec("granulo.llm.registry"):
-        from granulo.llm import registry
-
-        out.append(registry)
-        if importlib.util.find_spec("corpus_pipeline"):
-            import corpus_pipeline
-
-            out.append(corpus_pipeline)
+    for name in ("granulo.llm.registry", "corpus_pipeline"):
+        try:
+            out.append(importlib.import_module(name))
+        except ImportError as e:
+            (log.info if isinstance(e, ModuleNotFoundError) and e.name and name.startswith(e.name) else log.warning)("queries of %s are left out: %s", name, e)
     return out
 
 
@@ -47,20 +49,20 @@ def circles(spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI)
 
 
 class Circles:
-    """The steps up to classified particles, made once for a query."""
+    """The steps up to classified particles. Pairs and members are kept, as a query reads them several times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI):
         self.parts = particles.particles(circles(spark, sf_dir, moduli))
-        self.pairs = overlap.overlap_pairs(self.parts)
+        self.pairs = overlap.overlap_pairs(self.parts).cache()
 
     def labels(self, method: str = "auto") -> DataFrame:
         return clusters.components(self.parts, self.pairs, method)
 
     def members(self) -> DataFrame:
-        return morphology.membership(overlap.flag_contained(self.parts, self.pairs), self.labels("grouped"))
+        return morphology.membership(overlap.flag_contained(self.parts, self.pairs), self.labels()).cache()
 
     def aggl(self) -> DataFrame:
-        return morphology.agglomerates(self.members())
+        return morphology.agglomerates(self.members()).cache()
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -127,8 +129,6 @@ def _(spark, sf_dir):
 
 @_query("imagej_filter_recenter", "SELECT p_brand AS ds_id, p_partkey AS ID, (p_partkey % 401 + p_size / 2.0)::DOUBLE AS X, (p_partkey % 409 + p_size / 2.0)::DOUBLE AS Y, p_size::DOUBLE AS D, (p_size / 2.0)::DOUBLE AS R FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
 def _(spark, sf_dir):
-    from granulo.sources import particle_csv
-
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     roi = p.select(F.col("p_brand").alias("ds_id"), F.col("p_partkey").alias("Index"), F.when(F.col("p_partkey") % 5 == 0, "Rectangle").otherwise("Oval").alias("Type"), (F.col("p_partkey") % 401).cast("double").alias("X"), (F.col("p_partkey") % 409).cast("double").alias("Y"), F.col("p_size").cast("double").alias("Width"), (F.col("p_size") + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)).cast("double").alias("Height"))
     return particle_csv.from_imagej(roi)
@@ -323,6 +323,139 @@ def _(spark, sf_dir):
     return _rounded(Circles(spark, sf_dir).aggl().select("ds_id", "agl", geometry.type_colour(F.col("type")).alias("colour"), geometry.ratio(F.col("members_count") - lo, hi - lo).alias("shade")))
 
 
+# ---- sources, helpers -------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    from granulo.operators.components import shared_dir
+
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_of(spark: SparkSession, sf_dir: str, where: str, columns: dict, separator: str = ",") -> str:
+    """Circles of part written as files with a header; columns: name and expression over ds_id, ID, X, Y, D."""
+    folder = _folder(spark, "csv")
+    circles(spark, sf_dir).filter(where).select(*[F.expr(e).alias(n) for n, e in columns.items()]).write.option("header", True).option("sep", separator).csv(folder)
+    return folder
+
+
+NATIVE = {"ID": "ID", "X": "X", "Y": "Y", "R": "D / 2"}
+LEGACY = {"ID": "ID", "X (pixels)": "X", "Y (pixels)": "Y", "Radius (pixels)": "D / 2"}
+REGIONS = {"Index": "ID", "Name": "'r'", "Type": "if(ID % 5 = 0, 'Rectangle', 'Oval')", "X": "X", "Y": "Y", "Width": "D", "Height": "if(ID % 7 = 0, D + 1, D)"}
+_READ = "SELECT 'all' AS ds_id, ID, X, Y, D / 2 AS R FROM p"
+
+
+@_query("csv_native", _BASE + _READ)
+def _(spark, sf_dir):
+    return particle_csv.load(spark, _csv_of(spark, sf_dir, "true", NATIVE), "all").select("ds_id", "ID", "X", "Y", "R")
+
+
+@_query("csv_legacy", _BASE + _READ)
+def _(spark, sf_dir):
+    return particle_csv.load(spark, _csv_of(spark, sf_dir, "true", LEGACY), "all").select("ds_id", "ID", "X", "Y", "R")
+
+
+@_query("csv_regions", _BASE + "SELECT 'all' AS ds_id, ID, X + D / 2 AS X, Y + D / 2 AS Y, D, D / 2 AS R FROM p WHERE ID % 5 <> 0 AND ID % 7 <> 0")
+def _(spark, sf_dir):
+    return particle_csv.load(spark, _csv_of(spark, sf_dir, "true", REGIONS), "all")
+
+
+@_query("csv_dropped_regions", _BASE + "SELECT ID::VARCHAR AS Index FROM p WHERE ID % 5 = 0 OR ID % 7 = 0")
+def _(spark, sf_dir):
+    df = spark.read.option("header", True).csv(_csv_of(spark, sf_dir, "true", REGIONS))
+    return particle_csv.dropped(df)
+
+
+@_query("csv_layouts", "SELECT * FROM (VALUES ('native'), ('imagej'), ('legacy')) t(layout)")
+def _(spark, sf_dir):
+    paths = [_csv_of(spark, sf_dir, "ID < 50", c) for c in (NATIVE, REGIONS, LEGACY)]
+    return spark.createDataFrame([(particle_csv.recognise(particle_csv.header(spark, p)),) for p in paths], "layout string")
+
+
+@_query("csv_given_layout", _BASE + "SELECT p.ds_id, p.ID, p.X, p.Y, p.D / 2 AS R FROM p WHERE ds_id IN ('Brand#11', 'Brand#22', 'Brand#3')")
+def _(spark, sf_dir):
+    """Files of several layouts, each with its data set, in one table."""
+    every = None
+    for name, columns in (("Brand#11", NATIVE), ("Brand#22", LEGACY), ("Brand#3", {"ID": "ID", "X": "X", "Y": "Y", "R": "D / 2", "Width": "D"})):
+        one = particle_csv.load(spark, _csv_of(spark, sf_dir, f"ds_id = '{name}'", columns), name).select("ds_id", "ID", "X", "Y", "R")
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+@_query("legacy_key_values", "SELECT 'k' || p_partkey AS key, p_size::VARCHAR AS value, CASE WHEN p_partkey % 3 = 0 THEN 'um' END AS unit FROM part")
+def _(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.concat_ws(";", F.concat(F.lit(" k"), "p_partkey"), F.concat(F.col("p_size"), F.lit(" ")), F.when(F.col("p_partkey") % 3 == 0, "um"))
+    folder = _folder(spark, "keys")
+    p.select(line.alias("value")).write.text(folder)
+    return legacy.key_values(spark, folder).select("key", "value", "unit")
+
+
+@_query("legacy_ignore_list", "SELECT DISTINCT p_brand AS name FROM part WHERE p_brand LIKE '%1' AND p_brand <> 'Brand#11' OR p_brand = 'Brand#55'")
+def _(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("name")).distinct()
+    ignored = names.filter("name LIKE '%1'")
+    return legacy.deactivate(legacy.activate(ignored, names.filter("name = 'Brand#11'")), names.filter("name IN ('Brand#55', 'Brand#21')"))
+
+
+@_query("legacy_not_ignored", "SELECT DISTINCT p_brand AS ds_id FROM part p WHERE NOT EXISTS (SELECT 1 FROM part i WHERE i.p_brand LIKE '%1' AND contains('old ' || i.p_brand, p.p_brand))")
+def _(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("ds_id")).distinct()
+    return legacy.not_ignored(names, names.filter("ds_id LIKE '%1'").select(F.concat(F.lit("old "), "ds_id").alias("name")))
+
+
+@_query("append_members", _BASE + "SELECT ds_id, ID, 0::BIGINT AS agl FROM p WHERE ID % 3 <> 0 UNION SELECT ds_id, ID, 0::BIGINT FROM p WHERE ID % 2 = 0")
+def _(spark, sf_dir):
+    p = Circles(spark, sf_dir).parts.select("ds_id", "ID", F.lit(0).cast("long").alias("agl"))
+    return morphology.append_members(p.filter("ID % 3 <> 0"), p.filter("ID % 2 = 0"))
+
+
+@_query("agglomerate_member", _ALL + "SELECT ds_id, agl, ID, D, k FROM m WHERE (ds_id, agl, ID) = (SELECT (ds_id, agl, max(ID)) FROM m GROUP BY ds_id, agl HAVING count(*) > 1 ORDER BY ds_id, agl LIMIT 1)")
+def _(spark, sf_dir):
+    m = Circles(spark, sf_dir).members()
+    ds, agl, i = m.groupBy("ds_id", "agl").agg(F.max("ID").alias("ID"), F.count("*").alias("n")).filter("n > 1").orderBy("ds_id", "agl").select("ds_id", "agl", "ID").first()
+    return morphology.member(m, ds, agl, i).select("ds_id", "agl", "ID", "D", F.col("k").cast("long").alias("k"))
+
+
+_query("psd_text_edges", _dist_sql(_BASE, "p", "D", histogram.bin_edges(0, 40, 8)))(_dist(lambda c: c.parts, "D", histogram.parse_edges("0, 40, 8", 0, 1)))
+_query("psd_text_list", _dist_sql(_BASE, "p", "D", [0.0, 5.0, 10.0, 45.0]))(_dist(lambda c: c.parts, "D", histogram.parse_edges("[0, 5, 10, 45]", 0, 1)))
+
+
+@_query("missing_scale", "SELECT DISTINCT p_brand AS ds_id FROM part WHERE p_brand IN ('Brand#11', 'Brand#12')")
+def _(spark, sf_dir):
+    c = circles(spark, sf_dir)
+    size = F.when(F.col("ds_id") == "Brand#11", 0.0).when(F.col("ds_id") != "Brand#12", 0.25)
+    return particles.missing_scale(c, c.select("ds_id").distinct().withColumn("px_size", size))
+
+
+@_query("text_values", "SELECT * FROM (VALUES ('1', true, false, false), ('yes', true, false, false), ('no', false, false, false), ('Auto', false, true, false), ('NaN', false, false, true), ('', false, false, true), ('true', true, false, false), ('0', false, false, false)) t(text, is_true, is_default, is_none)")
+def _(spark, sf_dir):
+    rows = [(x, values.is_true(x), values.is_default(x), values.is_none(x)) for x in ("1", "yes", "no", "Auto", "NaN", "", "true", "0")]
+    return spark.createDataFrame(rows, "text string, is_true boolean, is_default boolean, is_none boolean")
+
+
+@_query("colour_values", "SELECT p_partkey AS ID, trunc(p_size / 51.0 * 255)::INT AS red, round((p_size % 256) / 255.0, 6) AS unit, least(255, greatest(0, trunc(p_size * 5 * (1 - (p_partkey % 5 - 1) / 4.0))))::INT AS shaded, p_size % 256 AS opacity FROM part")
+def _(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    size = F.col("p_size")
+    red = F.get(geometry.rgb_to_256(F.array(size / F.lit(51.0))), F.lit(0))
+    unit = F.get(geometry.rgb_to_unit(F.array(size % 256)), F.lit(0))
+    shade = geometry.rgb_shade(F.array(size * 5, size, size, size % 256), (F.col("p_partkey") % 5 - 1) / F.lit(4.0))
+    return _rounded(p.select(F.col("p_partkey").alias("ID"), red.alias("red"), unit.alias("unit"), F.get(shade, F.lit(0)).alias("shaded"), F.get(shade, F.lit(3)).alias("opacity")))
+
+
+@_query("interpolated_colours", "SELECT i AS x, round(CASE WHEN i <= 2 THEN 0.0 WHEN i <= 6 THEN (i - 2) / 4.0 WHEN i <= 8 THEN 1 - (i - 6) / 4.0 ELSE 0.5 END, 6) AS value FROM range(11) t(i)")
+def _(spark, sf_dir):
+    rows = [(i, float(values.interpolate_colours([0.0, 1.0, 0.5], [2.0, 6.0, 8.0], float(i)))) for i in range(11)]
+    return _rounded(spark.createDataFrame(rows, "x long, value double"))
+
+
+@_query("unit_metres", "SELECT * FROM (VALUES ('nm', 1e-9::DOUBLE), ('µm', 1e-6::DOUBLE), ('m', 1.0::DOUBLE), ('ft', NULL)) t(unit, metres)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([("nm",), ("µm",), ("m",), ("ft",)], "unit string").select("unit", units.unit_metres(F.col("unit")).alias("metres"))
+
+
 # ---- contract ---------------------------------------------------------------------------------
 
 

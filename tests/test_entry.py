@@ -24,6 +24,14 @@ def test_query_matches_sql(spark, sf, name):
     same(spark, sf, name, entry._Q[name], entry._SQL[name])
 
 
+def test_other_queries_live_without_a_module_that_fails(monkeypatch):
+    def missing(name):
+        raise ImportError(f"{name} needs what isn't here")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert entry.queries().keys() == entry._Q.keys() and entry.oracle_sql() == entry._SQL
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 25
     assert entry.oracle_sql().keys() <= entry.queries().keys()
