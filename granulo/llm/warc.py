@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, files
+from . import common, files, side
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 MIN_BYTES = 0
@@ -56,30 +56,33 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def originals(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(id__, refers_to) of the records that revisit another."""
-    d = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).filter(F.col("n") >= min_bytes)
-    d = common.cut(d.drop("n"))
-    first = d.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    return d.join(first, "sha").filter("page_id <> refers_to").select(F.col("page_id").alias("id__"), "refers_to").distinct()
+def originals(keyed: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(row, refers_to) of the records that revisit another; keyed: page_id, html, row, at rest."""
+    html = F.coalesce("html", F.lit(""))
+    d = common.cut(keyed.select("page_id", "row", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n")).filter(F.col("n") >= min_bytes).drop("n"))
+    first = common.cut(d.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).filter("k > 1"))
+    return common.join_hot(d, first, ["sha"], "k").filter("page_id <> refers_to").select("row", "refers_to")
 
 
 def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes a package for each task; (package, records) tells what."""
-    common.prepare(pages.sparkSession)
+    """Writes a package for each task; (package, records) tells what. Pages stay where they are: their tasks look up which of
+    them revisit another."""
+    spark = pages.sparkSession
+    common.prepare(spark)
     files.make(folder)
-    pages = pages.select("page_id", "url", "html")
-    to = originals(pages, min_bytes)
-    rows = pages.join(to, pages["page_id"] == to["id__"], "left").select("page_id", "url", "html", "refers_to")
+    keyed = common.cut(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")))
+    dealt = side.deal(originals(keyed, min_bytes), "row")
 
     def run(batches):
         name, n, at, index = f"pages-{TaskContext.get().partitionId():06d}.wacz", 0, 0, []
+        those = side.Side(dealt, "row")
         with files.writer(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
             with z.open(DATA, "w", force_zip64=True) as data:
                 for b in batches:
-                    for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                        page_id, url, html, ref = row
-                        x = _gzip(record(page_id, url, (html or "").encode(), ref))
+                    t = those.rows(b.column(3).to_numpy())
+                    to = dict(zip(t.column("row").to_pylist(), t.column("refers_to").to_pylist(), strict=True)) if t is not None else {}
+                    for page_id, url, html, row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                        x = _gzip(record(page_id, url, (html or "").encode(), to.get(row)))
                         data.write(x)
                         index.append(f"{at} {len(x)}\n")
                         at += len(x)
@@ -87,7 +90,9 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
             z.writestr(INDEX, "".join(index))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["package", "records"])
 
-    return common.cut(rows.mapInArrow(run, "package string, records long"))
+    out = common.cut(keyed.mapInArrow(run, "package string, records long"))
+    common.free(keyed)
+    return out
 
 
 # ---- reading ----------------------------------------------------------------------------------
