@@ -189,3 +189,28 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     return detect(common.table(spark, sf_dir, "documents"))
+
+
+def op4_base_digest(spark, sf_dir: str) -> DataFrame:
+    """What the four fixed forms alone decide, which SQL can say too."""
+    return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in KINDS], "base_sha256")
+
+
+#: The contract's forms, as SQL's expressions find them: leftmost, without overlap.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_FOUND = " UNION ALL ".join(f"SELECT row, '{kind}' AS kind, {k} AS place, regexp_extract_all(text, '{form}') AS ms, regexp_split_to_array(text, '{form}') AS gs FROM t" for k, (kind, form) in enumerate(_PLAIN.items()))
+SQL = {"op4_base_digest": rf"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), m AS ({_FOUND}),
+x AS (SELECT row, kind, place, ms[i] AS x, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d,
+    list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0)),
+good AS (SELECT * FROM x WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+  WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
+  ELSE length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(d), i::INTEGER, 1)::INTEGER
+    ELSE 2 * substr(reverse(d), i::INTEGER, 1)::INTEGER - CASE WHEN substr(reverse(d), i::INTEGER, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END),
+s AS (SELECT row, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _PLAIN)}, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(x))::BIGINT, ',' ORDER BY start, place) AS spans FROM good GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PLAIN)}, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN s ON t.row = s.row
+"""}

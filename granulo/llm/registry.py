@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_pii": pii.op4_pii,
+        "op4_base_digest": pii.op4_base_digest,
         "op5_warc": warc.op5_warc,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {**quality.SQL, **ngram_jaccard.SQL, **warc.SQL, **line_dedup.SQL}
+    return {**quality.SQL, **ngram_jaccard.SQL, **pii.SQL, **warc.SQL, **line_dedup.SQL}
