@@ -110,10 +110,10 @@ def ablations(led: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of docs (any columns) that a policy keeps."""
-    names = "|".join(MEASURES)
+    names, m = "|".join(MEASURES), common.spare("m__", docs)
     failed = " OR ".join(re.sub(rf"\b({names})\b", r"m.\1", rule) for name, rule in RULES.items() if POLICIES[version] & BIT[name])
     # the measures' column is named once, in a lambda: named once for each rule, it would be pasted and run as often
-    return docs.withColumn("m__", measure(docs["text"])).filter(F.expr(f"NOT exists(array(m__), m -> {failed})")).drop("m__")
+    return docs.withColumn(m, measure(docs["text"])).filter(F.expr(f"NOT exists(array({m}), m -> {failed})")).drop(m)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
