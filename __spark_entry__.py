@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulo.functions import geometry, units, values
-from granulo.operators import clusters, histogram, morphology, overlap, particles, summary
+from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary
 from granulo.sources import legacy, particle_csv
 
 log = logging.getLogger("granulo")
@@ -456,6 +456,15 @@ def _(spark, sf_dir):
     return spark.createDataFrame([("nm",), ("µm",), ("m",), ("ft",)], "unit string").select("unit", units.unit_metres(F.col("unit")).alias("metres"))
 
 
+@_query("drawn_circles", _ALL + """, f AS (SELECT m.ds_id, m.ID, m.X, m.Y, m.D, CASE a.type WHEN 'collector' THEN 'blue' WHEN 'similar' THEN 'red' ELSE 'lime' END AS c FROM m JOIN a ON m.ds_id = a.ds_id AND m.agl = a.agl)
+SELECT ds_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ' || ceil(max(X + D / 2))::BIGINT || ' ' || ceil(max(Y + D / 2))::BIGINT || '">' ||
+  string_agg('<circle cx="' || X || '" cy="' || Y || '" r="' || (D / 2) || '" fill="' || c || '" fill-opacity="0.2" stroke="' || c || '"/>', '' ORDER BY D DESC, ID) || '</svg>' AS svg FROM f GROUP BY ds_id""")
+def _(spark, sf_dir):
+    m = Circles(spark, sf_dir).members()
+    c = morphology.classify_particles(m, morphology.numbered(morphology.agglomerates(m)))
+    return drawing.overlay(c, drawing.colour_by_type(), labels=False)
+
+
 # ---- contract ---------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granulo import sinks
 from granulo.errors import EmptySourceError
-from granulo.operators import clusters, histogram, morphology, overlap, particles, summary, vision
+from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary, vision
 from granulo.sources import directory, images, particle_csv
 from granulo.sources import settings as S
 
@@ -44,10 +44,28 @@ class Batch:
         info = images.info(scan).drop("tags").join(F.broadcast(told), "ds_id")
         info = info.select("ds_id", "img_name", F.coalesce("mag__", "magnification").alias("magnification"), F.coalesce("px__", "px_size").alias("px_size"), (F.col("px__").isNull() & F.col("old_format")).alias("old_format"), F.concat(F.lit(f"{directory.IMAGES}/"), F.col("ds_id")).alias("subdir"))
         batch = cls(rows, info, s["analysis"]["collector_threshold"], conditions=s["metadata"]["conditions"], **options)
-        batch.bins = s["analysis"]["PSD_space"]
+        batch.bins, batch.path = s["analysis"]["PSD_space"], str(path)
         return batch
 
     bins: dict | None = None
+    path: str | None = None
+
+    def __repr__(self) -> str:
+        """Where it is from and how it works; nothing is counted for it."""
+        return f"Batch(path={self.path!r}, threshold={self.threshold}, duplicate_id={self.duplicate_id!r}, components={self.method!r})"
+
+    def described(self) -> DataFrame:
+        """(DS ID, ID, text): each particle in words."""
+        d = F.format_string("%s: D=%.4g at (%.4g, %.4g), %s of %s", "name", "D", "X", "Y", "type", "affiliation")
+        return self.classified.select(F.col("ds_id").alias("DS ID"), "ID", d.alias("text"))
+
+    def pictures(self, by: str = "type", labels: bool = True, alpha: float = 0.2) -> DataFrame:
+        """(ds_id, svg): each image's circles, in its pixels, coloured by type or by a column of particles."""
+        rows = self.classified.select("ds_id", "ID", "X", "Y", "D", "area", "volume", "type")
+        if self.info is not None:
+            px = self.info.select("ds_id", "px_size")
+            rows = rows.join(px, "ds_id").withColumns({c: F.col(c) / F.col("px_size") for c in ("X", "Y", "D")})
+        return drawing.overlay(rows, drawing.colour_by_type() if by == "type" else drawing.colour_by(by), alpha, labels)
 
     @cached_property
     def particles(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,21 @@ def not_ignored(datasets: DataFrame, ignore: DataFrame) -> DataFrame:
     return datasets.join(ignore, ignore["name"].contains(datasets["ds_id"]), "left_anti")
 
 
+def find_datasets(folder: str | Path, ignore: bool = True, config: str = "_names.csv", formats: tuple[str, ...] = (".tif",)) -> list[Path]:
+    """Folders at any depth that hold a key-value file `<name><config>` and an image; with ignore, not those whose image is
+    named in an ignore.csv beside or above them. Driver-side."""
+    out = []
+    for d in sorted(p for p in Path(folder).rglob("*") if p.is_dir()):
+        images = [p for p in sorted(d.iterdir()) if p.suffix in formats]
+        if not images or not any(p.name.endswith(config) for p in d.iterdir()):
+            continue
+        above = [p for p in (d, *d.parents) if p == Path(folder) or Path(folder) in p.parents]
+        entries = [x.strip() for p in above if (p / "ignore.csv").is_file() for x in (p / "ignore.csv").read_text(encoding="utf-8").split("\n") if x.strip()]
+        if not (ignore and any(i.name in e for i in images for e in entries)):
+            out.append(d)
+    return out
+
+
 def activate(ignore: DataFrame, names: DataFrame) -> DataFrame:
     """The ignore list without names."""
     return ignore.join(names, "name", "left_anti")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granulo.errors import AgglomerateError, UnknownIdError
-from granulo.operators import clusters, histogram, morphology, overlap, particles, quantiles, summary
+from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, quantiles, summary
 
 SCHEMA = "ds_id string, ID long, X double, Y double, D double"
 
@@ -156,6 +156,25 @@ def test_bins_close_on_the_right(spark):
     assert histogram.auto_edges(v.filter("D > 0"))[0] == 1.0
 
 
+def test_pictures(spark):
+    from xml.etree import ElementTree
+
+    rows = [("a", 1, 10.0, 10.0, 8.0, "collector"), ("a", 2, 12.0, 10.0, 2.0, "attached2coll"), ("b", 1, 5.5, 5.0, 3.0, None)]
+    c = spark.createDataFrame(rows, "ds_id string, ID long, X double, Y double, D double, type string")
+    ns = "{http://www.w3.org/2000/svg}"
+    got = {r.ds_id: ElementTree.fromstring(r.svg) for r in drawing.overlay(c, drawing.colour_by_type()).collect()}
+    assert [(x.get("r"), x.get("fill"), x.get("fill-opacity")) for x in got["a"].iter(f"{ns}circle")] == [("4.0", "blue", "0.2"), ("1.0", "blue", "0.2")]
+    assert [x.text for x in got["a"].iter(f"{ns}text")] == ["1", "2"] and got["a"].get("viewBox") == "0 0 14 14" and next(got["b"].iter(f"{ns}circle")).get("fill") == "black"
+    size = spark.createDataFrame([("a", 640, 480)], "ds_id string, width long, height long")
+    for levels, middle in ((None, "#ff0000"), (2, "#ff0000")):
+        by = {r.ds_id: ElementTree.fromstring(r.svg) for r in drawing.overlay(c, drawing.colour_by("D", levels=levels), labels=False, size=size).collect()}
+        assert [x.get("fill") for x in by["a"].iter(f"{ns}circle")] == [middle, "#0000ff"] and by["a"].get("viewBox") == "0 0 640 480" and not list(by["a"].iter(f"{ns}text"))
+    d = histogram.distribution(c, "D", [0.0, 4.0, 8.0])
+    plot = ElementTree.fromstring(drawing.plot_distribution(d, norm=True))
+    assert [float(x.get("height")) for x in plot.iter(f"{ns}rect")] == [400.0, 200.0] and next(plot.iter(f"{ns}polyline")).get("points").endswith("600.0,0.0")
+    assert len(list(ElementTree.fromstring(drawing.plot_distribution(d, step=True)).iter(f"{ns}polyline"))) == 2
+
+
 def test_empty_particles(spark):
     parts, members, aggl = full(spark, [])
     assert aggl.count() == 0 and members.count() == 0 and summary.dataset_summary(parts, aggl).count() == 0

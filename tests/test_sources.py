@@ -116,6 +116,16 @@ def test_legacy(spark, tmp_path):
     assert more.count() == 2 and legacy.activate(more, ignore).count() == 1
 
 
+def test_legacy_folders(tmp_path):
+    for name in ("A-1", "A-2", "B-1"):
+        (tmp_path / "x" / name).mkdir(parents=True)
+        (tmp_path / "x" / name / f"{name}.tif").write_bytes(b"")
+        (tmp_path / "x" / name / f"{name}_names.csv").write_text("img_name;x")
+    (tmp_path / "x" / "empty").mkdir()
+    (tmp_path / "ignore.csv").write_text("images/A-2.tif\n")
+    assert [p.name for p in legacy.find_datasets(tmp_path)] == ["A-1", "B-1"] and len(legacy.find_datasets(tmp_path, ignore=False)) == 3
+
+
 def test_tiff_and_vision():
     a = discs([(60, 60, 20), (150, 80, 35), (210, 150, 12)])
     assert (images.pixels(tiff(a)) == a).all()
@@ -148,6 +158,8 @@ def test_batch_from_directory(spark, tmp_path):
     one = {r.ID: r for r in b.particle_table(True).filter("`DS ID` = 'p'").collect()}
     assert one[0].D == pytest.approx(40 * 5e-7) and one[0].X == pytest.approx(60 * 5e-7) and one[0].type == "similar" and one[2].type == "separate"
     assert b.psd().count() == 10
+    assert repr(b).startswith("Batch(path=") and b.described().filter("`DS ID` = 'p' and ID = 0").first().text.startswith("P0: D=")
+    assert 'cx="60.0" cy="60.0" r="20.0"' in b.pictures().filter("ds_id = 'p'").first().svg
     b.export(str(tmp_path / "out"), [0.0, 1.0, 2.0, 5.0], form="csv")
     assert len([p for p in (tmp_path / "out").iterdir()]) == 9
     assert sum(r.counts for r in b.agl_pcd([0.0, 1.0, 100.0]).collect()) == b.agglomerates.count()
