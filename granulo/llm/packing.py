@@ -6,7 +6,8 @@ three available lengths, fills each gap exactly where availability counts allow,
 else takes the best fit. What it decides is a short list of patterns with multiplicities. Pieces find their place by
 their rank within their length, which buckets of a hash make without one task for a frequent length.
 
-Defined results: a null or empty text is the single identifier 2; equal texts are packed each for itself; an empty table
+Defined results: a null or empty text is the single identifier 2; <|endoftext|> within a text is the one identifier that
+the vocabulary file gives it; equal texts are packed each for itself; an empty table
 gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -44,7 +45,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         for b in batches:
             ids, out = b.column(0).to_pylist(), ([], [], [], [], [])
             for i, text in zip(ids, b.column(1), strict=True):
-                got = np.array([*tokens.encode(text.as_py() or "", path), tokens.EOD], "<u4")
+                got = np.array([*tokens.encode(text.as_py() or "", path, tokens.ADDED), tokens.EOD], "<u4")
                 at = cut_points(len(got), capacity)
                 for k, (s, e) in enumerate(zip(at, at[1:], strict=False)):
                     for column, v in zip(out, (i, k, s, e - s, zlib.crc32(got[s:e].tobytes())), strict=True):
