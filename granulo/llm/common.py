@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import re
@@ -41,9 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return told
 
 
+_LEFT: set[str] = set()
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path below the shared one; sweep() deletes it, if nothing did before."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
+    return path
+
+
+def sweep() -> None:
+    """Deletes what this process wrote to the shared folder. Results are lazy: store or collect them before. Runs by itself
+    when the process ends."""
+    from . import files
+
+    while _LEFT:
+        with contextlib.suppress(OSError):
+            files.drop(_LEFT.pop())
+
+
+atexit.register(sweep)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -77,6 +96,7 @@ def free(*tables: DataFrame) -> None:
 
     for t in tables:
         files.drop(t.cut_path)
+        _LEFT.discard(t.cut_path)
 
 
 def spare(name: str, *tables: DataFrame) -> str:

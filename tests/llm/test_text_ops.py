@@ -457,6 +457,20 @@ def test_no_qualifying_stretch_is_missed():
     assert decontamination.Index([(1, " ".join(f"w{j}" for j in range(100)))]).scan(pa.array([fourth])) == {0: {1: 75}}
 
 
+def test_columns_of_any_name_stay(spark):
+    """Helpers' own names, in either case, as columns of the input."""
+    names = ["m__", "id__", "dead__", "n_lines", "N_Deleted", "row__", "ROW", "group__", "part__", "cls", "h", "seg", "root", "item_ids"]
+    long = " ".join(VOCABULARY[:40])
+    texts = [long, long + " and one", f"{long}\nown line", " ".join(VOCABULARY[50:90]), "few words", None]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(2)
+    test = spark.createDataFrame([(1, " ".join(VOCABULARY[55:75]))], "item_id long, text string")
+    for f, kept in ((quality.keep, {0, 1, 2, 3}), (line_dedup.clean, {0, 1, 2, 3, 4, 5}), (ngram_jaccard.one_each, {0, 3, 4, 5}), (lambda d: decontamination.filter_clean(d, test), {0, 1, 2, 4, 5}), (lambda d: decontamination.filter_clean(d, test, 3), {0, 1, 2, 4, 5})):
+        out = f(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {r.doc_id for r in got} == kept and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
 def test_best_stretch():
     e = np.array([1, 1, 0, 1, 1, 1, 0, 0, 0, 1], bool)
     assert decontamination.stretch(e) == 3 or decontamination.stretch(e) == 5
