@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 CAPACITY = 1024
-#: Buckets among which the pieces of one length are dealt for ranking.
-RANK_BUCKETS = 256
+#: The pieces of one length are dealt for ranking into buckets of about so many.
+BUCKET_PIECES = 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -145,7 +145,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (see pieces(); written somewhere that lasts, as they're read twice) with sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     at = places(plan(counts, capacity))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    spark = pieces.sparkSession
+    wide = spark.createDataFrame([(x, -(-n // BUCKET_PIECES)) for x, n in counts.items()], "length long, buckets long")  # at most `capacity` rows
+    dealt = pieces.join(F.broadcast(wide), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
     base = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
     ranked = dealt.withColumn("k", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("k") + F.col("base"))
