@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import common
+
 SLICE = 1 << 19
 _U64 = np.uint64
 
@@ -60,3 +62,11 @@ def counts(sym: np.ndarray, sizes: tuple[int, ...], bits: int, breaks: np.ndarra
             total += np.bincount(buckets(sym, offs, a, b, n, bits, breaks), minlength=len(total))
     k = np.flatnonzero(total[:-1])
     return k, total[k]
+
+
+def bounded(k: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their weights, of at most so many buckets, picked by their hash; the total weight stays."""
+    if len(k) > most:
+        pick = np.sort(np.argsort(common.mix(k.astype(_U64)), kind="stable")[:most])
+        k, n = k[pick], n[pick] * (n.sum() / n[pick].sum())
+    return k, n

@@ -4,8 +4,10 @@ A text is the bag of byte n-grams of its distinct lower-cased words, word ends m
 fills a text by repetition counts once. Each hashed n-gram has a
 vector; their average goes through a linear softmax. Vectors and softmax learn together, so a misspelling that was
 never seen still lies near its correct form, whose n-grams it shares. Training takes at most MAX_EACH labelled texts of
-either label, those with the least hash of doc_id; a part held back sets the bias at which a score of 0.5 parts the labels
-best. Executors turn texts into n-gram counts; the driver sees counts alone.
+either label, those with the least hash of doc_id, and of a text with more than MAX_BAG different n-grams so many, picked by
+their hash, with the weight of all: the driver sees counts alone, which executors make of texts, and never more than
+2 * MAX_EACH * MAX_BAG of them at 8 bytes. Scores cover whole texts. A part of the sample, held back, sets the bias at which
+a score of 0.5 parts the labels best: misses and false alarms count as shares of their label.
 
 Defined results: a null or empty text has the score of an empty bag (below 0.5: nothing in it is toxic); without labels of
 both kinds every score is the share of label 1, or 0; repeated labels of a text count once each; labels for missing texts
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from . import common, grams
 
 SIZES, BITS, DIMS = (3, 4, 5, 6), 18, 8
-MAX_EACH = 2500
-EPOCHS, VECTOR_RATE, RATE, BATCH = 6, 2.0, 0.02, 32
+MAX_EACH, MAX_BAG = 2500, 8192
+EPOCHS, VECTOR_RATE, RATE, BATCH = 10, 2.0, 0.02, 32
+#: The rarer label is shown up to so many times an epoch, as far as the other is more frequent.
+REPEATS = 8
+#: A clean text that is flagged weighs as much as so many toxic ones that are missed, as shares of either.
+FLAGGED = 2.0
 #: Averages are multiplied by it before the softmax, as a toxic word is a small part of a text.
 GAIN = 100.0
 #: N-grams of no meaning that every bag holds besides its own, so that a few odd ones don't decide on a short text.
@@ -104,24 +110,22 @@ def bag(one: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return k, total[k]
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], float]:
-    """(label, buckets, counts) of at most `most` labelled texts of each label; and how many rows of label 0 there are for
-    each of label 1, against the sample."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_EACH) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, buckets, counts) of at most `most` labelled texts of each label."""
     lab = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).distinct()
-    known = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = [r["toxic"] for r in lab.select("toxic").distinct().collect()]
     ids = [(r[0], r[1]) for y in (1, 0) for r in lab.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if len(known) < 2:
-        return [(y, np.zeros(1, np.int64), np.ones(1)) for y in known], 1.0
+        return [(y, np.zeros(1, np.int64), np.ones(1)) for y in known]
     few = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")), "doc_id")
 
     def run(batches):
         for b in batches:
-            got = [bag(b.column(1).slice(r, 1)) for r in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.astype(np.uint32).tobytes() for k, _ in got], pa.binary()), pa.array([n.astype(np.float16).tobytes() for _, n in got], pa.binary())], ["doc_id", "toxic", "k", "n"])
+            got = [grams.bounded(*bag(b.column(1).slice(r, 1)), MAX_BAG) for r in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.astype(np.uint32).tobytes() for k, _ in got], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in got], pa.binary())], ["doc_id", "toxic", "k", "n"])
 
     t = few.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, k binary, n binary").toArrow().sort_by("doc_id")
-    rows = [(y, np.frombuffer(k, np.uint32), np.frombuffer(n, np.float16)) for y, k, n in zip(t.column("toxic").to_pylist(), t.column("k").to_pylist(), t.column("n").to_pylist(), strict=True)]
-    return rows, (known[0] / min(known[0], most)) / (known[1] / min(known[1], most))
+    return [(y, np.frombuffer(k, np.uint32), np.frombuffer(n, np.float32)) for y, k, n in zip(t.column("toxic").to_pylist(), t.column("k").to_pylist(), t.column("n").to_pylist(), strict=True)]
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +144,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
             y = np.array([r[0] for r in mine])
             size = np.array([len(r[1]) for r in mine])
             k = np.concatenate([r[1] for r in mine]).astype(np.int64)
-            x = np.concatenate([r[2].astype(np.float32) * np.float32(GAIN / (PRIOR + r[2].sum(dtype=np.float32))) for r in mine])
+            x = np.concatenate([r[2] * np.float32(GAIN / (PRIOR + r[2].sum(dtype=np.float32))) for r in mine])
             m = np.add.reduceat(e[k] * x[:, None], np.cumsum(size) - size, axis=0)
             z = m @ w + c
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -159,9 +163,16 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return e, w, c
 
 
+def evened(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows, those of the rarer label several times."""
+    one, two = ([r for r in rows if r[0] == y] for y in (0, 1))
+    few, many = sorted((one, two), key=len)
+    return many + few * max(1, min(REPEATS, len(many) // max(1, len(few))))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The difference of logits by bucket, and its bias; docs: doc_id, text; labels: doc_id, toxic."""
-    rows, common_zero = sample(docs, labels)
+    rows = sample(docs, labels)
     table = np.zeros((1 << BITS) + 1)
     ones = sum(y for y, _, _ in rows)
     if ones in (0, len(rows)):
@@ -169,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rows = [r for r in rows if len(r[1])]
     order = np.random.default_rng(1).permutation(len(rows)).tolist()
     held = [rows[i] for i in order[: len(rows) // 6]]
-    e, w, c = fit([rows[i] for i in order[len(rows) // 6 :]])
+    e, w, c = fit(evened([rows[i] for i in order[len(rows) // 6 :]]))
     table[:-1] = GAIN * (e @ (w[:, 1] - w[:, 0]))
     bias = float(c[1] - c[0])
     z = np.array([(table[k] * n).sum() / (PRIOR + n.sum(dtype=np.float32)) for _, k, n in held]) + bias
@@ -177,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if 0 < y.sum() < len(y):
         cuts = np.sort(z)
         cuts = np.concatenate([[0.0], (cuts[1:] + cuts[:-1]) / 2])
-        wrong = np.array([((z < t) & (y == 1)).sum() + common_zero * ((z >= t) & (y == 0)).sum() for t in cuts])
+        wrong = np.array([((z < t) & (y == 1)).sum() / y.sum() + FLAGGED * ((z >= t) & (y == 0)).sum() / (len(y) - y.sum()) for t in cuts])
         best = cuts[wrong <= wrong.min() + 1e-9]
         bias -= float(np.median(best))
     return table, min(bias, -1e-6)  # an empty bag is not toxic

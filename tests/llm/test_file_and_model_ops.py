@@ -1,6 +1,7 @@
 """Packing, token files, WARC packages, classifiers and the pipeline: round trips, brute force and held-out accuracy."""
 
 import base64
+import functools
 import hashlib
 import importlib.util
 import io
@@ -13,18 +14,24 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from granulo.llm import common, files, language, packing, token_counts, tokens, toxicity, warc
+from granulo.llm import common, files, grams, language, packing, token_counts, tokens, toxicity, warc
 
-ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "a b"), (904, "a b"), (905, "é " * 3000), (906, "xyz" * 2000), (907, "12 34!"), (908, "<|endoftext|> x")]
+ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "a b"), (904, "a b"), (905, "é " * 3000), (906, "xyz" * 2000), (907, "12 34!"), (908, "<|endoftext|> x"), (909, "hello <|endoftext|> x<|endoftext|><|endoftext|>\n <|endoftext")]
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer(ordinary):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    t.encode_special_tokens = ordinary
+    return t
+
+
+def reference_ids(text, ordinary=False):
+    """Of the vocabulary file as it is; ordinary: strings of added tokens are like any other."""
+    return reference_tokenizer(ordinary).encode(text or "", add_special_tokens=False).ids
 
 
 # ---- tokens and packing -----------------------------------------------------------------------
@@ -34,7 +41,8 @@ def test_identifiers_equal_those_of_the_json_vocabulary(spark, sf):
     path = tokens.default_path()
     texts = [r.text for r in common.table(spark, sf, "documents").limit(60).collect()] + [t or "" for _, t in ODD]
     for t in texts:
-        assert tokens.encode(t, path) == reference_ids(t)
+        assert tokens.encode(t, path, tokens.ADDED) == reference_ids(t) and tokens.encode(t, path) == reference_ids(t, True)
+    assert tokens.encode("hello <|endoftext|> x", path, tokens.ADDED) == [31373, 220, 50256, 2124]
 
 
 def test_parts_meet_where_tokens_begin():
@@ -117,7 +125,7 @@ def test_token_counts_across_blocks(spark, docs_of, tmp_path):
     rows = [(i, "tok " * (i % 9)) for i in range(40)] + ODD
     folder = f"file://{tmp_path}/t"
     where = token_counts.write_tokens(docs_of(rows, 3), folder)
-    want = {i: len(reference_ids(t)) for i, t in rows}
+    want = {i: len(reference_ids(t, True)) for i, t in rows}
     for block in (2, 6, 64, 1 << 20):
         d = token_counts.documents(token_counts.separators(spark, folder, block_bytes=block))
         assert {r.doc_id: r.n_tokens for r in where.join(d, ["file", "ordinal"]).collect()} == want, block
@@ -217,6 +225,14 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_rare_language_is_learned(spark, docs_of):
+    common.prepare(spark)
+    rows = [(i, "the and of with that", "en") for i in range(2000)] + [(5000 + i, "kuma mana saidi wafula", "sw") for i in range(5)] + [(None, "kuma", "sw")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = language.sample(docs, 50)
+    assert Counter(x[0] for x in few) == {"en": 50, "sw": 5} and language.train(docs)[0] == ["en", "sw"]
+
+
 def test_language_odd_rows(spark, docs_of):
     common.prepare(spark)
     rows = [(i, "the and of with that " * 3) for i in range(20)] + [(30 + i, "der die und nicht ein " * 3) for i in range(20)]
@@ -244,15 +260,11 @@ def test_gram_sums_match_counts():
     table[-1] = 0
     total, count = grams_sums(sym, offs, table)
     for k, (a, b) in enumerate(zip(offs, offs[1:], strict=False)):
-        from granulo.llm import grams
-
         at, n = grams.counts(sym[a:b], (1, 2, 3), 10)
         assert np.allclose(total[k], (table[at] * n[:, None]).sum(axis=0)) and count[k] == n.sum()
 
 
 def grams_sums(sym, offs, table):
-    from granulo.llm import grams
-
     old, grams.SLICE = grams.SLICE, 64
     try:
         return grams.sums(sym, offs, (1, 2, 3), table, 10)
@@ -277,6 +289,30 @@ def test_toxicity_learns_words_and_misspellings(spark, docs_of):
     assert toxicity.train(docs_of(rows), labels.limit(0))[1] < 0 and toxicity.score(docs_of([]), model).count() == 0
 
 
+def test_toxicity_of_a_text_that_repeats_an_n_gram_without_end(spark, docs_of):
+    """100,000 different words share n-grams, whose weights no half-precision number holds."""
+    common.prepare(spark)
+    long = " ".join(f"abc{k:x}zz" for k in range(100_000))
+    k, n = toxicity.bag(pa.array([long]))
+    assert n.max() > 65_504
+    few = grams.bounded(k, n, toxicity.MAX_BAG)
+    assert len(few[0]) == toxicity.MAX_BAG and np.isclose(few[1].sum(), n.sum())
+    rows = [(0, long)] + [(i, "plain words here" + (" disgusting worthless" if i % 2 else "")) for i in range(1, 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    table, bias = toxicity.train(docs_of(rows), labels)
+    assert np.isfinite(table).all() and np.isfinite(bias)
+    got = {x.doc_id: x for x in toxicity.score(docs_of(rows), (table, bias)).collect()}
+    assert all(0 <= x.score <= 1 for x in got.values()) and np.mean([got[i].predicted == i % 2 for i in range(1, 200)]) > 0.95
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Of the labelled documents that nothing was learned from, nearly all toxic ones are found, and few others."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, sf).filter("held_out").join(common.table(spark, sf, "labels"), "doc_id").collect()
+    bad, good = ([x.predicted for x in got if x.toxic == y] for y in (1, 0))
+    assert len(bad) > 30 and np.mean(bad) >= 0.85 and np.mean(good) <= 0.04, (len(bad), np.mean(bad), np.mean(good))
+
+
 def test_toxicity_bags_match_sums():
     texts = pa.array(["Ab cd ab\tzz", "", None, "x" * 200_000 + " q", " lead and lead "])
     table = np.random.default_rng(0).normal(size=(1 << toxicity.BITS) + 1)
