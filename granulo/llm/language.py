@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Inverse document frequencies come from all learning documents. The classifier is fitted on at most MAX_TRAIN of them,
-those with the least hash of doc_id, by follow-the-regularised-leader with an elastic-net penalty (one learning rate for
+Inverse document frequencies come from all learning documents, and so does the list of languages. The classifier is fitted
+on at most MAX_EACH documents of each language, those with the least hash of doc_id, and of each at most MAX_BAG different
+n-grams (8 bytes each reach the driver), by follow-the-regularised-leader with an elastic-net penalty (one learning rate for
 each weight; the L1 part keeps most at zero). A part of the sample is held back to fit one temperature, by which logits
 are divided, so that scores are calibrated. Executors turn texts into n-gram counts; the driver sees counts alone.
 
@@ -16,13 +17,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, grams
 
 SIZES, BITS = (1, 2, 3), 15
-MAX_TRAIN, EPOCHS = 3000, 3
+MAX_EACH, MAX_BAG, EPOCHS = 750, 8192, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 #: Term frequencies sum to this in each text.
 SCALE = 50.0
@@ -59,17 +60,18 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, buckets, counts) of at most `most` of docs (doc_id, text, lang)."""
-    ids = [r[0] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+def sample(docs: DataFrame, most: int = MAX_EACH) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, buckets, counts) of at most `most` of docs (doc_id, text, lang) in each language, however rare it is."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = [r[0] for r in docs.select("doc_id", "lang").filter("doc_id is not null").withColumn("place", place).filter(F.col("place") <= most).select("doc_id").collect()]
     few = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long").distinct()), "doc_id") if ids else docs.limit(0)
 
     def run(batches):
         for b in batches:
-            got = [grams.counts(symbols([t or ""])[0], SIZES, BITS) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.astype(np.int32) for k, _ in got], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in got], pa.list_(pa.int32()))], ["doc_id", "lang", "k", "n"])
+            got = [grams.bounded(*grams.counts(symbols([t or ""])[0], SIZES, BITS), MAX_BAG) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k.astype(np.int32) for k, _ in got], pa.list_(pa.int32())), pa.array([n.astype(np.float32) for _, n in got], pa.list_(pa.float32()))], ["doc_id", "lang", "k", "n"])
 
-    t = few.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, k array<int>, n array<int>").toArrow().sort_by("doc_id")
+    t = few.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, k array<int>, n array<float>").toArrow().sort_by("doc_id")
     return [(lang, k.values.to_numpy(), n.values.to_numpy().astype(float)) for lang, k, n in zip(t.column("lang").to_pylist(), t.column("k"), t.column("n"), strict=True)]
 
 
