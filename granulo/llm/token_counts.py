@@ -6,7 +6,8 @@ separators as a whole array; it knows nothing of its neighbours, so its first do
 prefix scan over a file's blocks stitches that: the last separator before a block is a running maximum, the documents
 before it a running sum.
 
-Defined results: a null or empty text is a document of no tokens; equal texts are counted each for itself; tokens behind
+Defined results: a null or empty text is a document of no tokens; <|endoftext|> within a text is ordinary text, as its own
+identifier would part the file; equal texts are counted each for itself; tokens behind
 a file's last separator are no document; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,7 +33,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
     path = vocabulary or tokens.default_path()
 
     def run(batches):
-        name, k = f"tokens-{TaskContext.get().partitionId():06d}.bin", 0
+        task = TaskContext.get()  # a second attempt, which may meet rows in another order, writes a file of its own
+        name, k = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
         with files.writer(f"{folder}/{name}") as out:
             for b in batches:
                 for text in b.column(1):
