@@ -10,7 +10,8 @@
    (prefix filter). A tile is one such token and one band of sizes: bands grow by 4/3, so partners lie in the same or the
    next band, and a class enters the tiles of its own band and, as a guest, of the next.
 4. In a tile every class is first held against the tile's centre, a linear number of pairs. Classes already connected
-   need no further pair, so what is left are pairs of a tile that lie in different components.
+   need no further pair, so what is left are pairs of a tile that lie in different components: first as many as would
+   connect these, so again a linear number, and in the end all that still lie apart.
 5. All of these are bounded from above by bit counts: bits of A's bitmap that B's lacks stand for at least as many tokens
    of A outside B. Tiles are compared as bit matrices and give out only pairs whose bound suffices.
 6. Those pairs' sorted arrays are intersected exactly.
@@ -343,9 +344,37 @@ def star_pairs(rows: DataFrame, centre: DataFrame) -> DataFrame:
     return _sized(common.join_hot(rows, centre, ["token", "tile"], "k").select(F.col("cls").alias("u"), F.col("n").alias("nu"), "c.v", "c.nv"))
 
 
-def near(n, held, comp, own, side, maps) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile's rows, in different components, whose bitmaps don't rule out a link. Rows of side 0 meet all that
-    come later, or, where there is a side 1, all of that."""
+def forest(i: np.ndarray, j: np.ndarray, slack: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs between components enough to connect what all of them would, if all link: in turns, each component takes
+    the pair whose bound leaves most room, and components that meet become one."""
+    _, at = np.unique(comp, return_inverse=True)
+    out = []
+    while len(i):
+        u, v = at[i], at[j]
+        order = np.argsort(-slack, kind="stable")
+        best = np.unique(np.concatenate([order[np.unique(x[order], return_index=True)[1]] for x in (u, v)]))
+        out.append((i[best], j[best]))
+        a, b = u[best], v[best]
+        root = np.arange(int(at.max()) + 1)
+        while True:  # hook the greater root to the lesser, then shorten paths
+            ra, rb = root[a], root[b]
+            open_ = ra != rb
+            if not open_.any():
+                break
+            np.minimum.at(root, np.maximum(ra[open_], rb[open_]), np.minimum(ra[open_], rb[open_]))
+            while (root[root] != root).any():
+                root = root[root]
+        at = root[at]
+        left = at[i] != at[j]
+        i, j, slack = i[left], j[left], slack[left]
+    if not out:
+        return i, j
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def near(n, held, comp, own, side, maps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile's rows, in different components, whose bitmaps don't rule out a link, and how many tokens more than
+    they need the bound leaves them. Rows of side 0 meet all that come later, or, where there is a side 1, all of that."""
     words = min(len(m) for m in maps)
     m = np.stack([fold(x, words) for x in maps])
     a_rows, b_rows = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -369,10 +398,10 @@ def near(n, held, comp, own, side, maps) -> tuple[np.ndarray, np.ndarray]:
             mx, my = m[i[x]], m[b_rows[y]]
             most = np.minimum(held[i[x]] - np.bitwise_count(mx & ~my).sum(axis=1, dtype=np.int64), held[b_rows[y]] - np.bitwise_count(my & ~mx).sum(axis=1, dtype=np.int64))
             good = most >= need[x, y]
-            out.append((i[x][good], b_rows[y][good]))
+            out.append((i[x][good], b_rows[y][good], (most - need[x, y])[good]))
     if not out:
-        return (np.empty(0, np.int64),) * 2
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def mixed_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -382,10 +411,10 @@ def mixed_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
     return common.join_hot(rows, mixed, ["token", "tile"], "k").drop("k")
 
 
-def open_pairs(rows: DataFrame, live: DataFrame) -> DataFrame:
+def open_pairs(rows: DataFrame, live: DataFrame, few: bool) -> DataFrame:
     """Pairs of a tile (rows of mixed_rows) whose components differ and whose bitmaps leave a link open. A tile is compared
     in one task, as bit matrices, and gives out no other pair; one of more than TILE_ROWS classes is split into blocks by
-    hash, and each pair of blocks is compared for itself."""
+    hash, and each pair of blocks is compared for itself. few: of a tile's pairs only a forest() is given out."""
     rows = rows.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     # block pairs (i, j) with i <= j: in (b, j) the class is on side 0, in (i, b) on side 1
     own = F.transform(F.sequence(F.col("b"), F.col("nb") - 1), lambda j: F.struct(F.col("b").alias("bi"), j.alias("bj"), F.lit(0).alias("side")))
@@ -399,7 +428,9 @@ def open_pairs(rows: DataFrame, live: DataFrame) -> DataFrame:
         cls, comp, n, held = (t.column(k).to_numpy() for k in (5, 6, 8, 9))
         own, side = t.column(7).to_numpy(), t.column(4).to_numpy()
         maps = [np.frombuffer(x, _U64) for x in t.column(10).to_pylist()]
-        i, j = near(n, held, comp, own, side, maps)
+        i, j, slack = near(n, held, comp, own, side, maps)
+        if few:
+            i, j = forest(i, j, slack, comp)
         return np.maximum(cls[i], cls[j]), np.minimum(cls[i], cls[j])
 
     def run(batches):
@@ -442,12 +473,13 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     centre = common.cut(centres(rows))
     found = [common.cut(verify(star_pairs(rows, centre), live))]
     common.free(centre)
-    # pairs that link mostly share many tiles: what an eighth of the tiles connects, the others needn't compare again
+    # Pairs that link mostly share many tiles, and most pairs that the bound leaves do link. So an eighth of the tiles, and
+    # then all of them, give out a forest each; what is still apart after that is compared in full.
     eighth = F.pmod(F.xxhash64("token"), F.lit(8)) == 0
-    for some in (eighth, ~eighth):
+    for some, few in ((eighth, True), (F.lit(True), True), (F.lit(True), False)):
         label = common.cut(connected_components(_all(found)))
         mixed = common.cut(mixed_rows(rows.filter(some), label))
-        found.append(common.cut(verify(open_pairs(mixed, live), live)))
+        found.append(common.cut(verify(open_pairs(mixed, live, few), live)))
         common.free(label, mixed)
     label = common.cut(connected_components(_all(found)))
     common.free(rows, live)

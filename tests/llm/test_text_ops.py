@@ -344,6 +344,25 @@ def test_one_each_of_repeated_and_null_ids(spark, docs_of):
     assert Counter((x.doc_id, x.text) for x in one.collect()) == Counter([(3, a), (None, b), (None, c), (7, "own"), (7, "other"), (None, None), (None, "")])
 
 
+def test_a_forest_connects_what_all_pairs_do():
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(r.integers(2, 30))
+        comp = r.integers(0, 12, n) * 7
+        i, j = (x[comp[x0] != comp[x1]] for x0, x1 in [r.integers(0, n, (2, int(r.integers(0, 80))))] for x in (x0, x1))
+        p, q = ngram_jaccard.forest(i, j, r.integers(0, 5, len(i)), comp)
+
+        def joined(a, b):
+            label = {c: c for c in comp.tolist()}
+            for x, y in zip(comp[a].tolist(), comp[b].tolist(), strict=True):
+                lo, hi = sorted((label[x], label[y]))
+                label = {c: lo if k == hi else k for c, k in label.items()}
+            return label
+
+        assert joined(p, q) == joined(i, j) and len(p) <= 2 * 12
+        assert set(zip(p.tolist(), q.tolist(), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_bitmap_bound_never_undercuts():
     r = np.random.default_rng(0)
     for _ in range(50):
