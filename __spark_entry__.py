@@ -10,12 +10,13 @@ import importlib
 import logging
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulo.functions import geometry, units, values
-from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary
+from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary, touching
 from granulo.sources import legacy, particle_csv
 
 log = logging.getLogger("granulo")
@@ -49,17 +50,22 @@ def circles(spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI)
 
 
 class Circles:
-    """The steps up to classified particles. Pairs and members are kept, as a query reads them several times."""
+    """The steps up to classified particles. Pairs, nodes and members are kept, as a query reads them several times. Only what is
+    asked for pairs lists them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI):
         self.parts = particles.particles(circles(spark, sf_dir, moduli))
         self.pairs = overlap.overlap_pairs(self.parts).cache()
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return touching.nodes(self.parts.cache()).cache()
+
     def labels(self, method: str = "auto") -> DataFrame:
-        return clusters.components(self.parts, self.pairs, method)
+        return clusters.components(self.parts, touching.links(self.nodes), method)
 
     def members(self) -> DataFrame:
-        return morphology.membership(overlap.flag_contained(self.parts, self.pairs), self.labels()).cache()
+        return morphology.membership(touching.flag_contained(self.parts, self.nodes), self.labels()).cache()
 
     def aggl(self) -> DataFrame:
         return morphology.agglomerates(self.members()).cache()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granulo import sinks
 from granulo.errors import EmptySourceError
-from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary, vision
+from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary, touching, vision
 from granulo.sources import directory, images, particle_csv
 from granulo.sources import settings as S
 
@@ -75,10 +75,14 @@ class Batch:
     def pairs(self) -> DataFrame:
         return overlap.overlap_pairs(self.particles).cache()
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return touching.nodes(self.particles).cache()
+
     @cached_property
     def members(self) -> DataFrame:
-        labels = clusters.components(self.particles, self.pairs, self.method)
-        return morphology.membership(overlap.flag_contained(self.particles, self.pairs), labels)
+        labels = clusters.components(self.particles, touching.links(self.nodes), self.method)
+        return morphology.membership(touching.flag_contained(self.particles, self.nodes), labels)
 
     @cached_property
     def agglomerates(self) -> DataFrame:
