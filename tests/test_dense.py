@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from granulo.operators import clusters, overlap, particles, touching
 
 #: Queries that would list all pairs of a dense table for nothing.
-WITHOUT_PAIRS = ["classify_particles", "member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_dsom", "agglomerate_members", "agl_psd", "agl_psd_dsom", "classify_agglomerates"]
+WITHOUT_PAIRS = ["classify_particles", "member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_dsom", "agglomerate_members", "agl_psd", "agl_psd_dsom", "classify_agglomerates", "drawn_circles"]
 
 
 def odd(name):
