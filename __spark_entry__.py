@@ -51,21 +51,30 @@ def circles(spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI)
 
 class Circles:
     """The steps up to classified particles. Pairs, nodes and members are kept, as a query reads them several times. Only what is
-    asked for pairs lists them."""
+    asked for pairs lists them. Without inside nobody looks for contained circles, and members have no idj."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI):
+    def __init__(self, spark: SparkSession, sf_dir: str, moduli: tuple[int, int] = MODULI, inside: bool = True):
         self.parts = particles.particles(circles(spark, sf_dir, moduli))
-        self.pairs = overlap.overlap_pairs(self.parts).cache()
+        self.inside = inside
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return overlap.overlap_pairs(self.parts).cache()
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return touching.nodes(self.parts.cache()).cache()
+        return touching.nodes(self.parts.cache(), self.inside).cache()
 
     def labels(self, method: str = "auto") -> DataFrame:
         return clusters.components(self.parts, touching.links(self.nodes), method)
 
+    def once(self) -> DataFrame:
+        """Members that are read once, and so aren't kept: only columns that are asked for are made."""
+        parts = touching.flag_contained(self.parts, self.nodes) if self.inside else self.parts
+        return morphology.membership(parts, self.labels())
+
     def members(self) -> DataFrame:
-        return morphology.membership(touching.flag_contained(self.parts, self.nodes), self.labels()).cache()
+        return self.once().cache()
 
     def aggl(self) -> DataFrame:
         return morphology.agglomerates(self.members()).cache()
@@ -230,7 +239,7 @@ def _(spark, sf_dir):
 
 @_query("member_d_ratio", _ALL + "SELECT ds_id, ID, agl, k, round(D / max(D) OVER (PARTITION BY ds_id, agl), 6) AS D_ratio FROM m")
 def _(spark, sf_dir):
-    return _rounded(Circles(spark, sf_dir).members().select("ds_id", "ID", "agl", F.col("k").cast("long").alias("k"), "D_ratio"))
+    return _rounded(Circles(spark, sf_dir, inside=False).once().select("ds_id", "ID", "agl", F.col("k").cast("long").alias("k"), "D_ratio"))
 
 
 @_query("classify_agglomerates", _ALL + "SELECT ds_id, type, count(*) AS n, sum(members_count)::BIGINT AS members FROM a GROUP BY ds_id, type")

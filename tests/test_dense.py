@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_engine import SCHEMA, brute, made
@@ -73,3 +74,52 @@ def test_query_lists_no_pairs(spark, sf, monkeypatch, name):
     real = overlap.overlap_pairs
     monkeypatch.setattr(overlap, "overlap_pairs", lambda parts: real(parts).filter(F.raise_error(F.concat(F.lit("a pair is listed: "), "a")).isNull()))
     same(spark, sf, name, entry._Q[name], entry._SQL[name])
+
+
+def test_tiles_of_one_hash_are_put_apart(spark):
+    rows = odd("lattice")
+    parts = particles.derive(spark.createDataFrame(rows, SCHEMA))
+    _, inside, roots = brute(rows)
+    dealt = touching._dealt(parts).toArrow()
+    assert len(dealt.group_by(touching.KEY).aggregate([])) > 3
+    mixed = dealt.take(random.Random(1).sample(range(len(dealt)), len(dealt)))
+    mixed = mixed.set_column(0, "tile", pa.array([7] * len(mixed)))
+    told = [r for b in touching._worked(iter(mixed.to_batches(max_chunksize=100))) for r in b.to_pylist()]
+    assert {(r["ds_id"], r["ID"]) for r in told if r["idj"]} == inside
+    again = spark.createDataFrame([(r["ds_id"], r["ID"], r["root"], r["idj"]) for r in told], "ds_id string, ID long, root long, idj boolean")
+    assert {(r.ds_id, r.ID): r.agl for r in clusters.components(parts, touching.links(again)).collect()} == roots
+
+
+@pytest.mark.parametrize("sets", [0, 10_000])
+def test_many_data_sets_are_joined_and_few_broadcast(spark, monkeypatch, sets):
+    monkeypatch.setattr(touching, "SETS", sets)
+    rows = [(str(k), *r[1:]) for k in range(3) for r in odd("made")[k:]]
+    parts = particles.derive(spark.createDataFrame(rows, SCHEMA).dropDuplicates(["ds_id", "ID"]))
+    rows = [(r.ds_id, r.ID, r.X, r.Y, r.D) for r in parts.collect()]
+    dealt = touching._dealt(parts)
+    assert ("ResolvedHint" in dealt._jdf.queryExecution().analyzed().toString()) == bool(sets)
+    _, inside, roots = brute(rows)
+    nodes = touching.nodes(parts).cache()
+    assert {(r.ds_id, r.ID) for r in nodes.filter("idj").collect()} == inside
+    assert {(r.ds_id, r.ID): r.agl for r in clusters.components(parts, touching.links(nodes)).collect()} == roots
+
+
+#: Queries that need no contained circles.
+WITHOUT_INSIDE = ["member_d_ratio"]
+
+
+@pytest.mark.parametrize("name", WITHOUT_INSIDE)
+def test_query_looks_for_no_contained_circles(spark, sf, monkeypatch, name):
+    seen = []
+    real = touching.nodes
+    monkeypatch.setattr(touching, "nodes", lambda parts, inside=True: seen.append(inside) or real(parts, inside))
+    same(spark, sf, name, entry._Q[name], entry._SQL[name])
+    assert seen == [False]
+
+
+def test_nodes_without_contained_circles_have_the_same_links(spark):
+    rows = odd("lattice")
+    parts = particles.derive(spark.createDataFrame(rows, SCHEMA))
+    nodes = touching.nodes(parts, inside=False).cache()
+    assert nodes.filter("idj is not null or ID = root").count() == 0
+    assert {(r.ds_id, r.ID): r.agl for r in clusters.components(parts, touching.links(nodes)).collect()} == brute(rows)[2]
