@@ -79,6 +79,10 @@ class Circles:
     def aggl(self) -> DataFrame:
         return morphology.agglomerates(self.members()).cache()
 
+    def aggl_once(self) -> DataFrame:
+        """As once(): what isn't asked for, such as centres of mass, isn't made."""
+        return morphology.agglomerates(self.once())
+
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     """Doubles to six places, as sums depend on order."""
@@ -335,7 +339,7 @@ def _(spark, sf_dir):
 
     w = Window.partitionBy("ds_id")
     lo, hi = F.min("members_count").over(w), F.max("members_count").over(w)
-    return _rounded(Circles(spark, sf_dir).aggl().select("ds_id", "agl", geometry.type_colour(F.col("type")).alias("colour"), geometry.ratio(F.col("members_count") - lo, hi - lo).alias("shade")))
+    return _rounded(Circles(spark, sf_dir, inside=False).aggl_once().select("ds_id", "agl", geometry.type_colour(F.col("type")).alias("colour"), geometry.ratio(F.col("members_count") - lo, hi - lo).alias("shade")))
 
 
 # ---- sources, helpers -------------------------------------------------------------------------
