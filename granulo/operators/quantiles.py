@@ -12,12 +12,12 @@ CELLS = 1024
 def quantiles(rows: DataFrame, by: list[str], asked: dict[str, tuple[str, float]]) -> DataFrame:
     """by and, for each name of asked, the quantile (column, p) of every group, between neighbours in proportion. Missing
     values don't count; a group without any has null. Columns are counted by value first, which map-side sums keep small; the
-    counts of CELLS cells tell in which of them a rank lies."""
+    counts of CELLS cells tell in which of them a rank lies. Counts are kept, as they are read again and again."""
     columns = sorted({c for c, _ in asked.values()})
     value = F.explode(F.array(*[F.struct(F.lit(c).alias("col__"), F.col(c).cast("double").alias("v__")) for c in columns]))
     flat = rows.select(*by, value.alias("x__")).select(*by, "x__.*").filter("v__ is not null")
     key = [*by, "col__"]
-    counts = flat.groupBy(*key, "v__").agg(F.count("*").alias("c__"))
+    counts = flat.groupBy(*key, "v__").agg(F.count("*").alias("c__")).cache()
     size = counts.groupBy(*key).agg(F.min("v__").alias("lo__"), F.max("v__").alias("hi__"), F.sum("c__").alias("n__"))
     part = F.when(F.col("hi__") > F.col("lo__"), F.floor((F.col("v__") - F.col("lo__")) / (F.col("hi__") - F.col("lo__")) * CELLS)).otherwise(F.lit(0)).cast("int")
     celled = counts.join(F.broadcast(size) if not by else size, key).withColumn("cell__", part)

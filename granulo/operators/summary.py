@@ -50,6 +50,11 @@ def pooled_summary(parts: DataFrame, aggl: DataFrame) -> DataFrame:
     more = [F.avg("D").alias("agl_Dmean"), F.stddev_samp("D").alias("agl_Dstd")]
     ends = {"10": 0.1, "50": 0.5, "90": 0.9}
     of_aggl = {f"agl_D{k}": ("D", p) for k, p in ends.items()} | {f"agl_member_count_q{k}": ("members_count", p) for k, p in ends.items()}
-    one = parts.agg(*_particles()).crossJoin(quantiles(parts, [], TENTHS)).crossJoin(aggl.agg(*_aggl(), *more)).crossJoin(quantiles(aggl, [], of_aggl))  # one row each
+    # All quantiles at once, of columns that are null in the other table's rows.
+    of = {f"of_particle_{c}": F.col(c).cast("double") for c, _ in TENTHS.values()}, {f"of_aggl_{c}": F.col(c).cast("double") for c, _ in of_aggl.values()}
+    both = [t.select(*[v.alias(c) for c, v in o.items()]) for t, o in zip((parts, aggl), of, strict=True)]
+    asked = {name: (f"of_particle_{c}", p) for name, (c, p) in TENTHS.items()} | {name: (f"of_aggl_{c}", p) for name, (c, p) in of_aggl.items()}
+    ranked = quantiles(both[0].unionByName(both[1], allowMissingColumns=True), [], asked)
+    one = parts.agg(*_particles()).crossJoin(aggl.agg(*_aggl(), *more)).crossJoin(ranked)  # one row each
     one = _ratios(one, pooled=True)
     return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in POOLED])))

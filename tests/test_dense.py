@@ -9,7 +9,7 @@ from test_engine import SCHEMA, brute, made
 from test_entry import same
 
 import __spark_entry__ as entry
-from granulo.operators import clusters, morphology, overlap, particles, touching
+from granulo.operators import clusters, morphology, overlap, particles, summary, touching
 
 #: Queries that would list all pairs of a dense table for nothing.
 WITHOUT_PAIRS = ["classify_particles", "member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_dsom", "agglomerate_members", "agl_psd", "agl_psd_dsom", "classify_agglomerates", "drawn_circles"]
@@ -105,7 +105,7 @@ def test_many_data_sets_are_joined_and_few_broadcast(spark, monkeypatch, sets):
 
 
 #: Queries that need no contained circles.
-WITHOUT_INSIDE = ["member_d_ratio", "particle_colours"]
+WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_INSIDE)
@@ -126,7 +126,7 @@ def test_nodes_without_contained_circles_have_the_same_links(spark):
 
 
 #: Queries that need no centres of mass, which two more windows would make.
-WITHOUT_CENTRES = ["particle_colours"]
+WITHOUT_CENTRES = ["particle_colours", "pooled_summary"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_CENTRES)
@@ -135,3 +135,11 @@ def test_query_makes_no_centres(spark, sf, monkeypatch, name):
     poisoned = lambda m, *a: real(m.withColumn("X", F.when(F.raise_error(F.concat(F.lit("a centre is made: "), "ID")).isNull(), F.col("X"))), *a)
     monkeypatch.setattr(morphology, "agglomerates", poisoned)
     same(spark, sf, name, entry._Q[name], entry._SQL[name])
+
+
+def test_pooled_summary_ranks_once(spark, sf, monkeypatch):
+    seen = []
+    real = summary.quantiles
+    monkeypatch.setattr(summary, "quantiles", lambda rows, by, asked: seen.append(by) or real(rows, by, asked))
+    same(spark, sf, "pooled_summary", entry._Q["pooled_summary"], entry._SQL["pooled_summary"])
+    assert seen == [[]]
