@@ -228,7 +228,7 @@ def _(spark, sf_dir):
 
 @_query("agglomerate_dsom", _ALL + "SELECT ds_id, agl, idj_members_count, members_count_dsom, round(volume_dsom, 6) AS volume_dsom, round(D_dsom, 6) AS D_dsom FROM a")
 def _(spark, sf_dir):
-    return _rounded(Circles(spark, sf_dir).aggl().select("ds_id", "agl", "idj_members_count", "members_count_dsom", "volume_dsom", "D_dsom"))
+    return _rounded(Circles(spark, sf_dir).aggl_once().select("ds_id", "agl", "idj_members_count", "members_count_dsom", "volume_dsom", "D_dsom"))
 
 
 @_query("agglomerate_ids", _ALL + "SELECT ds_id, agl, ID, 'AGL' || ID AS name, type FROM a")
