@@ -238,7 +238,7 @@ def _(spark, sf_dir):
 
 @_query("agglomerate_members", _ALL + "SELECT ds_id, agl, string_agg(ID::VARCHAR, ',' ORDER BY k) AS member_ids FROM m GROUP BY ds_id, agl")
 def _(spark, sf_dir):
-    return morphology.members_of(Circles(spark, sf_dir).members()).select("ds_id", "agl", F.array_join("member_ids", ",").alias("member_ids"))
+    return morphology.members_of(Circles(spark, sf_dir, inside=False).once()).select("ds_id", "agl", F.array_join("member_ids", ",").alias("member_ids"))
 
 
 @_query("member_d_ratio", _ALL + "SELECT ds_id, ID, agl, k, round(D / max(D) OVER (PARTITION BY ds_id, agl), 6) AS D_ratio FROM m")

@@ -105,7 +105,7 @@ def test_many_data_sets_are_joined_and_few_broadcast(spark, monkeypatch, sets):
 
 
 #: Queries that need no contained circles.
-WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary"]
+WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_members"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_INSIDE)
