@@ -288,9 +288,9 @@ SELECT bin, round(l, 6) AS "left", round(mid, 6) AS mid, round(r, 6) AS "right",
 FROM h2 WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
-def _dist(source, column: str, edges: list[float] | None, volume: bool = True):
+def _dist(source, column: str, edges: list[float] | None, volume: bool = True, inside: bool = True):
     def run(spark, sf_dir):
-        df = source(Circles(spark, sf_dir))
+        df = source(Circles(spark, sf_dir, inside=inside))
         e = edges or histogram.auto_edges(df, column)
         return _rounded(histogram.distribution(df, column, e, volume))
 
@@ -301,7 +301,8 @@ for _name, _edges in (("psd_linear", LINEAR), ("psd_log", LOGGED), ("psd_step",
     _query(_name, _dist_sql(_BASE, "p", "D", _edges))(_dist(lambda c: c.parts, "D", _edges))
 _AUTO = "lim AS (SELECT pow(10, floor(log10(min(D)))) AS lo, pow(10, ceil(log10(max(D)))) AS hi FROM p), bins AS (SELECT i AS bin, lo + (hi - lo) / 20 * i AS l, CASE WHEN i = 19 THEN hi ELSE lo + (hi - lo) / 20 * (i + 1) END AS r FROM lim, range(20) t(i))"
 _query("psd_auto", _dist_sql(_BASE, "p", "D", _AUTO).replace("SELECT bin,", "SELECT bin::INT AS bin,"))(_dist(lambda c: c.parts, "D", None))
-for _name, _column, _edges, _volume in (("agl_psd", "D", LINEAR, True), ("agl_psd_dsom", "D_dsom", LINEAR, True), ("agl_pcd", "members_count", COUNTED, False), ("agl_pcd_dsom", "members_count_dsom", COUNTED, False)):
+_query("agl_psd", _dist_sql(_ALL, "a", "D", LINEAR))(_dist(lambda c: c.aggl_once(), "D", LINEAR, inside=False))
+for _name, _column, _edges, _volume in (("agl_psd_dsom", "D_dsom", LINEAR, True), ("agl_pcd", "members_count", COUNTED, False), ("agl_pcd_dsom", "members_count_dsom", COUNTED, False)):
     _query(_name, _dist_sql(_ALL, "a", _column, _edges, _volume))(_dist(lambda c: c.aggl(), _column, _edges, _volume))
 
 
