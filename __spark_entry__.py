@@ -302,7 +302,8 @@ for _name, _edges in (("psd_linear", LINEAR), ("psd_log", LOGGED), ("psd_step",
 _AUTO = "lim AS (SELECT pow(10, floor(log10(min(D)))) AS lo, pow(10, ceil(log10(max(D)))) AS hi FROM p), bins AS (SELECT i AS bin, lo + (hi - lo) / 20 * i AS l, CASE WHEN i = 19 THEN hi ELSE lo + (hi - lo) / 20 * (i + 1) END AS r FROM lim, range(20) t(i))"
 _query("psd_auto", _dist_sql(_BASE, "p", "D", _AUTO).replace("SELECT bin,", "SELECT bin::INT AS bin,"))(_dist(lambda c: c.parts, "D", None))
 _query("agl_psd", _dist_sql(_ALL, "a", "D", LINEAR))(_dist(lambda c: c.aggl_once(), "D", LINEAR, inside=False))
-for _name, _column, _edges, _volume in (("agl_psd_dsom", "D_dsom", LINEAR, True), ("agl_pcd", "members_count", COUNTED, False), ("agl_pcd_dsom", "members_count_dsom", COUNTED, False)):
+_query("agl_psd_dsom", _dist_sql(_ALL, "a", "D_dsom", LINEAR))(_dist(lambda c: c.aggl_once(), "D_dsom", LINEAR))
+for _name, _column, _edges, _volume in (("agl_pcd", "members_count", COUNTED, False), ("agl_pcd_dsom", "members_count_dsom", COUNTED, False)):
     _query(_name, _dist_sql(_ALL, "a", _column, _edges, _volume))(_dist(lambda c: c.aggl(), _column, _edges, _volume))
 
 

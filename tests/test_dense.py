@@ -126,7 +126,7 @@ def test_nodes_without_contained_circles_have_the_same_links(spark):
 
 
 #: Queries that need no centres of mass, which two more windows would make.
-WITHOUT_CENTRES = ["particle_colours", "pooled_summary", "agglomerate_dsom", "agl_psd"]
+WITHOUT_CENTRES = ["particle_colours", "pooled_summary", "agglomerate_dsom", "agl_psd", "agl_psd_dsom"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_CENTRES)
