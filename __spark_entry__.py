@@ -248,7 +248,7 @@ def _(spark, sf_dir):
 
 @_query("classify_agglomerates", _ALL + "SELECT ds_id, type, count(*) AS n, sum(members_count)::BIGINT AS members FROM a GROUP BY ds_id, type")
 def _(spark, sf_dir):
-    return Circles(spark, sf_dir).aggl().groupBy("ds_id", "type").agg(F.count("*").alias("n"), F.sum("members_count").alias("members"))
+    return Circles(spark, sf_dir, inside=False).aggl_once().groupBy("ds_id", "type").agg(F.count("*").alias("n"), F.sum("members_count").alias("members"))
 
 
 @_query("classify_particles", _ALL + "SELECT m.ds_id, m.ID, m.idj, CASE WHEN a.type <> 'collector' THEN a.type WHEN m.k = 1 THEN 'collector' ELSE 'attached2coll' END AS type, 'AGL' || a.ID AS affiliation FROM m JOIN a ON m.ds_id = a.ds_id AND m.agl = a.agl")

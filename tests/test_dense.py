@@ -105,7 +105,7 @@ def test_many_data_sets_are_joined_and_few_broadcast(spark, monkeypatch, sets):
 
 
 #: Queries that need no contained circles.
-WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_members", "agl_psd"]
+WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_members", "agl_psd", "classify_agglomerates"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_INSIDE)
@@ -126,7 +126,7 @@ def test_nodes_without_contained_circles_have_the_same_links(spark):
 
 
 #: Queries that need no centres of mass, which two more windows would make.
-WITHOUT_CENTRES = ["particle_colours", "pooled_summary", "agglomerate_dsom", "agl_psd", "agl_psd_dsom"]
+WITHOUT_CENTRES = ["particle_colours", "pooled_summary", "agglomerate_dsom", "agl_psd", "agl_psd_dsom", "classify_agglomerates"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_CENTRES)
