@@ -481,8 +481,8 @@ def _(spark, sf_dir):
 SELECT ds_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ' || ceil(max(X + D / 2))::BIGINT || ' ' || ceil(max(Y + D / 2))::BIGINT || '">' ||
   string_agg('<circle cx="' || X || '" cy="' || Y || '" r="' || (D / 2) || '" fill="' || c || '" fill-opacity="0.2" stroke="' || c || '"/>', '' ORDER BY D DESC, ID) || '</svg>' AS svg FROM f GROUP BY ds_id""")
 def _(spark, sf_dir):
-    m = Circles(spark, sf_dir).members()
-    c = morphology.classify_particles(m, morphology.numbered(morphology.agglomerates(m)))
+    m = Circles(spark, sf_dir, inside=False).once().drop("name", "D_ratio").cache()
+    c = morphology.classify_particles(m, morphology.agglomerates(m))
     return drawing.overlay(c, drawing.colour_by_type(), labels=False)
 
 

@@ -105,7 +105,7 @@ def test_many_data_sets_are_joined_and_few_broadcast(spark, monkeypatch, sets):
 
 
 #: Queries that need no contained circles.
-WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_members", "agl_psd", "classify_agglomerates"]
+WITHOUT_INSIDE = ["member_d_ratio", "particle_colours", "pooled_summary", "agglomerate_members", "agl_psd", "classify_agglomerates", "drawn_circles"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_INSIDE)
@@ -143,3 +143,8 @@ def test_pooled_summary_ranks_once(spark, sf, monkeypatch):
     monkeypatch.setattr(summary, "quantiles", lambda rows, by, asked: seen.append(by) or real(rows, by, asked))
     same(spark, sf, "pooled_summary", entry._Q["pooled_summary"], entry._SQL["pooled_summary"])
     assert seen == [[]]
+
+
+def test_drawn_circles_number_nothing(spark, sf, monkeypatch):
+    monkeypatch.setattr(morphology, "numbered", None)
+    same(spark, sf, "drawn_circles", entry._Q["drawn_circles"], entry._SQL["drawn_circles"])
