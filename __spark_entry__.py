@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulo.functions import geometry, units, values
-from granulo.operators import clusters, drawing, histogram, morphology, overlap, particles, summary, touching
+from granulo.operators import clusters, components, drawing, histogram, morphology, overlap, particles, summary, touching
 from granulo.sources import legacy, particle_csv
 
 log = logging.getLogger("granulo")
@@ -272,7 +272,8 @@ def _(spark, sf_dir):
 @_query("pooled_summary", _ALL + f", one AS (SELECT *, {_RATIO_SQL} FROM (SELECT {_PART_SQL} FROM p), (SELECT {_AGL_SQL}, avg(D) AS agl_Dmean, stddev_samp(D) AS agl_Dstd, quantile_cont(D, 0.1) AS agl_D10, quantile_cont(D, 0.5) AS agl_D50, quantile_cont(D, 0.9) AS agl_D90, quantile_cont(members_count, 0.1) AS agl_member_count_q10, quantile_cont(members_count, 0.5) AS agl_member_count_q50, quantile_cont(members_count, 0.9) AS agl_member_count_q90 FROM a)) " + " UNION ALL ".join(f"SELECT '{x}' AS metric, round(({x})::DOUBLE, 6) AS value FROM one" for x in summary.POOLED))
 def _(spark, sf_dir):
     c = Circles(spark, sf_dir, inside=False)
-    return _rounded(summary.pooled_summary(c.parts, c.aggl_once().select("D", "members_count", "type").cache()))
+    # Written, not cached: a plan that repeats all of theirs for each step of the ranks takes the driver's memory.
+    return _rounded(summary.pooled_summary(c.parts, components.cut(c.aggl_once().select("D", "members_count", "type"))))
 
 
 def _bins_sql(edges: list[float]) -> str:

@@ -148,3 +148,12 @@ def test_pooled_summary_ranks_once(spark, sf, monkeypatch):
 def test_drawn_circles_number_nothing(spark, sf, monkeypatch):
     monkeypatch.setattr(morphology, "numbered", None)
     same(spark, sf, "drawn_circles", entry._Q["drawn_circles"], entry._SQL["drawn_circles"])
+
+
+def test_pooled_summary_ranks_by_a_short_plan(spark, sf, monkeypatch):
+    """The steps of the ranks repeat the plan of what they rank, which must not hold that of agglomerates."""
+    seen = []
+    real = summary.quantiles
+    monkeypatch.setattr(summary, "quantiles", lambda rows, by, asked: seen.append(rows._jdf.queryExecution().withCachedData().toString()) or real(rows, by, asked))
+    entry._Q["pooled_summary"](spark, sf)
+    assert seen and not any("MapInArrow" in plan for plan in seen)
